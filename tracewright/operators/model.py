@@ -8,52 +8,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.arcs import ARC
 from tracewright.operators.sequence import padded_sequence
 from tracewright.operators.variants import VARIANT
 from tracewright.plans.skew import with_neighbours
-from tracewright.spec import ACTIVITY, POS, TRACE
+from tracewright.spec import ACTIVITY, END_TASK, POS, START_TASK, TRACE
 
 THRESHOLD = 0.9  # least dependency, loops of length one and two included
 
 
-def follows_counts(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """`src, dst, frequency, back_and_forth`: pairs in sequences with START and END, and how often
-    the pair is followed by its source again (a, b, a).
+def dependencies(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`src, dst, frequency, dependency, two_step` of every pair that follows each other.
 
-    Both counts come from one grouping by three consecutive activities, so the table that later
-    steps join with itself has one row per pair of activities.
+    Sequences are those with START and END. Each event is counted once by itself and its neighbours,
+    which yields all counts in one pass; both directions of a pair then meet in one row, so nothing
+    is joined.
     """
-    by = [*keys, TRACE]
-    near = with_neighbours(padded_sequence(events, keys), after=[ACTIVITY], by=by, order=[POS])
-    near = with_neighbours(near.drop("is_last"), after=[f"next_{ACTIVITY}"], by=by, order=[POS])
-    triples = near.where(F.col(f"next_{ACTIVITY}").isNotNull()).groupBy(
-        *keys, F.col(ACTIVITY).alias("src"), F.col(f"next_{ACTIVITY}").alias("dst"),
-        F.col(f"next_next_{ACTIVITY}").alias("_third"),
+    near = with_neighbours(events, before=[ACTIVITY], after=[ACTIVITY], by=[*keys, TRACE])
+    around = near.groupBy(
+        *keys, F.when(F.col("is_first"), START_TASK).otherwise(F.col(f"prev_{ACTIVITY}")).alias("_before"),
+        F.col(ACTIVITY).alias("_at"),
+        F.when(F.col("is_last"), END_TASK).otherwise(F.col(f"next_{ACTIVITY}")).alias("_after"),
     ).agg(F.count("*").alias("_n"))
-    again = (F.col("_third") == F.col("src")) & (F.col("src") != F.col("dst"))
-    return triples.groupBy(*keys, *ARC).agg(
-        F.sum("_n").alias("frequency"),
-        F.coalesce(F.sum(F.when(again, F.col("_n"))), F.lit(0)).alias("back_and_forth"))
-
 
-def dependencies(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Every pair that occurs, with its dependency and its two-step loop measure."""
-    counts = follows_counts(events, keys)
-    mirrored = counts.select(
-        *keys, F.col("dst").alias("src"), F.col("src").alias("dst"),
-        F.col("frequency").alias("_ba"), F.col("back_and_forth").alias("_bab"))
-    ab, aba = F.col("frequency"), F.col("back_and_forth")
-    ba, bab = F.coalesce("_ba", F.lit(0)), F.coalesce("_bab", F.lit(0))
-    return counts.join(mirrored, [*keys, *ARC], "left").select(
-        *keys, *ARC, "frequency",
-        F.when(F.col("src") == F.col("dst"), ab / (ab + 1.0)).otherwise((ab - ba) / (ab + ba + 1.0))
-        .alias("dependency"),
-        F.when(F.col("src") == F.col("dst"), 0.0).otherwise((aba + bab) / (aba + bab + 1.0)).alias("two_step"),
-    )
+    def counts(condition: Column, src: str, dst: str, step: Column, back_and_forth: Column) -> Column:
+        return F.when(condition, F.struct(
+            F.least(src, dst).alias("_low"), F.greatest(src, dst).alias("_high"),
+            F.when(F.col(src) <= F.col(dst), step).otherwise(0).alias("_ab"),
+            F.when(F.col(src) > F.col(dst), step).otherwise(0).alias("_ba"),
+            back_and_forth.alias("_round")))
+
+    n, none = F.col("_n"), F.lit(0).cast("long")
+    found = F.array(
+        counts(F.lit(True), "_at", "_after", n, none),
+        counts(F.col("_before") == START_TASK, "_before", "_at", n, none),
+        counts(F.col("_before") == F.col("_after"), "_before", "_at", none, n))
+    pairs = around.select(*keys, F.inline(F.array_compact(found))).groupBy(*keys, "_low", "_high").agg(
+        *[F.sum(c).alias(c) for c in ("_ab", "_ba", "_round")])
+    low, high, self = F.col("_low"), F.col("_high"), F.col("_low") == F.col("_high")
+    ab, ba = F.col("_ab"), F.col("_ba")
+
+    def direction(src: Column, dst: Column, there: Column, back: Column) -> Column:
+        return F.struct(
+            src.alias("src"), dst.alias("dst"), there.alias("frequency"),
+            F.when(self, there / (there + 1.0)).otherwise((there - back) / (there + back + 1.0))
+            .alias("dependency"),
+            F.when(self, 0.0).otherwise(F.col("_round") / (F.col("_round") + 1.0)).alias("two_step"))
+
+    both = F.array(direction(low, high, ab, ba), direction(high, low, ba, ab))
+    return pairs.select(*keys, F.inline(both)).where("frequency > 0")
 
 
 def dependency_graph(
@@ -63,31 +69,31 @@ def dependency_graph(
 
     An arc is kept for its dependency, or with its reverse for a two-step loop between activities
     that are no self-loops. With `connect_all`, an activity left without an arc to (or from) another
-    one gets its best.
+    one gets its best. The windows run on one row per pair, so none holds more rows than there are
+    activities.
     """
     keys = list(keys)
-    pairs = dependencies(events, keys)
-    selfloop = pairs.where((F.col("src") == F.col("dst")) & (F.col("dependency") >= threshold)).select(
-        *keys, F.col("src").alias("_node"), F.lit(True).alias("_loops"))
-
-    def looping(end: str) -> DataFrame:
-        return selfloop.withColumnsRenamed({"_node": end, "_loops": f"_{end}_loops"})
-
-    judged = pairs.join(looping("src"), [*keys, "src"], "left").join(looping("dst"), [*keys, "dst"], "left")
-    short = (F.col("two_step") >= threshold) & F.col("_src_loops").isNull() & F.col("_dst_loops").isNull()
-    judged = judged.withColumn("_kept", (F.col("dependency") >= threshold) | short)
-    kept = judged.where("_kept").select(*keys, *ARC)
+    strong = F.col("dependency") >= threshold
+    self = F.col("src") == F.col("dst")
+    ends = {end: Window.partitionBy(*keys, end) for end in ARC}
+    judged = dependencies(events, keys)
+    for end, window in ends.items():
+        judged = judged.withColumn(f"_{end}_loops", F.max(self & strong).over(window))
+    short = (F.col("two_step") >= threshold) & ~F.col("_src_loops") & ~F.col("_dst_loops")
+    judged = judged.withColumn("_kept", strong | short)
     if connect_all:
-        rank = [-F.col("dependency"), -F.col("frequency")]
-        others = judged.where("src <> dst")
-        for end, other in (ARC, ARC[::-1]):
-            best = others.groupBy(*keys, end).agg(
-                F.max("_kept").alias("_served"),
-                F.min_by(other, F.struct(*rank, F.col(other))).alias(other),
-            ).where("not _served")
-            kept = kept.unionByName(best.select(*keys, *ARC))
-    return pairs.join(kept.distinct(), [*keys, *ARC], "left_semi").select(
-        *keys, *ARC, "frequency", "dependency")
+        best = F.lit(False)
+        for end, other in (("dst", "src"), ("src", "dst")):
+            rank = F.struct(-F.col("dependency"), -F.col("frequency"), F.col(other))
+            judged = judged.withColumns({
+                f"_{end}_served": F.max(F.col("_kept") & ~self).over(ends[end]),
+                f"_{end}_best": F.min(F.when(~self, rank)).over(ends[end]),
+            })
+            best = best | (~F.col(f"_{end}_served") & ~self & (rank == F.col(f"_{end}_best")))
+        judged = judged.where(F.col("_kept") | best)
+    else:
+        judged = judged.where("_kept")
+    return judged.select(*keys, *ARC, "frequency", "dependency")
 
 
 def bindings(arcs_of_cases: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def grow_patterns(
     singles = materialize(sets.groupBy("arc").agg(F.sum("weight").alias("n")))
     level = singles.select(F.array("arc").alias("arcs"), "n")
     good = singles.where(F.col("n") >= least).select("arc")
-    held = sets.select("set_id", "weight", F.array("arc").alias("arcs")).join(
-        level.where(F.col("n") >= least).select("arcs"), "arcs", "left_semi")
+    held = join_lookup(sets.select("set_id", "weight", F.array("arc").alias("arcs")),
+                       level.where(F.col("n") >= least).select("arcs"), ["arcs"], "left_semi")
     tried, size = level, 1
     # arcs by the nodes they touch
     touching = materialize(good.select("arc", F.explode(F.array_distinct(F.array("arc.src", "arc.dst"))).alias("node")))
@@ -90,7 +90,7 @@ def grow_patterns(
             .select("_wider", "_from.*")
         )
         held = materialize(
-            join_lookup(held, wider, ["arcs"])
+            join_lookup(held, materialize(wider), ["arcs"])
             .join(sets.select("set_id", "arc"), ["set_id", "arc"])
             .select("set_id", "weight", F.col("_wider").alias("arcs"))
         )
@@ -98,7 +98,7 @@ def grow_patterns(
         if level.isEmpty():
             break
         tried = tried.unionByName(level)
-        held = held.join(level.where(F.col("n") >= least).select("arcs"), "arcs", "left_semi")
+        held = join_lookup(held, level.where(F.col("n") >= least).select("arcs"), ["arcs"], "left_semi")
         size += 1
     return tried.select("arcs", F.size("arcs").alias("n_arcs"), "n", (F.col("n") / n_cases).alias("support"))
 

@@ -62,24 +62,24 @@ def add_dummies(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     by = [*keys, TRACE]
     near = with_neighbours(events, before=[SEQ], after=[SEQ], by=by)
+    # only a marker is exploded: the case column stays what the rows are partitioned by
+    marker = F.array_compact(F.array(
+        F.when(F.col("is_first"), "start"), F.lit("own"), F.when(F.col("is_last"), "end")))
+    rows = near.withColumn("_row", F.explode(marker))
     kept = {*by, *sliced(events)}
 
-    def dummy(values: dict) -> Column:
-        return F.struct(*[
-            (values[c] if c in values else F.col(c) if c in kept
-             else F.lit(None).cast(events.schema[c].dataType)).alias(c) for c in events.columns])
-
-    start = dummy({ACTIVITY: F.lit(START_TASK), START: F.col(START) - DUMMY_MS, COMPLETE: F.col(START),
-                   SEQ: F.col(SEQ) - 1, POS: F.lit(0).cast("long")})
-    end = dummy({ACTIVITY: F.lit(END_TASK), START: F.col(COMPLETE), COMPLETE: F.col(COMPLETE) + DUMMY_MS,
-                 SEQ: F.col(SEQ) + 1, **({POS: F.col(POS) + 1} if POS in events.columns else {})})
-    own = F.struct(*[F.col(c) for c in events.columns])
-    rows = F.concat(
-        F.when(F.col("is_first"), F.array(start)).otherwise(F.array()),
-        F.array(own),
-        F.when(F.col("is_last"), F.array(end)).otherwise(F.array()),
-    )
-    return near.select(F.inline(rows))
+    def value(column: str) -> Column:
+        own = F.col(column)
+        start, end = {
+            ACTIVITY: (F.lit(START_TASK), F.lit(END_TASK)),
+            START: (own - DUMMY_MS, F.col(COMPLETE)),
+            COMPLETE: (F.col(START), own + DUMMY_MS),
+            SEQ: (own - 1, own + 1),
+            POS: (own - 1, own + 1),
+        }.get(column, (F.lit(None), F.lit(None)))
+        return F.when(F.col("_row") == "start", start).when(F.col("_row") == "end", end).otherwise(own)
+
+    return rows.select(*[F.col(c) if c in kept else value(c).alias(c) for c in events.columns])
 
 
 def padded_sequence(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

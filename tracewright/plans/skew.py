@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.plans.storage import materialize
 from tracewright.spec import ORDER, PART, SEQ, START, TRACE
 
 HOT_CASE_EVENTS = 1_000_000  # a case above this is sliced
@@ -140,16 +139,15 @@ def with_positions(
 
 
 def join_lookup(
-    big: DataFrame, lookup: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS
+    big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Inner join with a table that is usually tiny, on a key that may be hot in `big`.
+    """Join with a table that is usually tiny, on a key that may be hot in `big`: inner or left_semi.
 
-    The lookup is computed and counted first. Up to `limit` rows it is broadcast; beyond that the
-    lookup is repeated once per salt and the big side spread over the salts.
+    The lookup is counted first, so it should be cheap to compute or materialized. Up to `limit` rows
+    it is broadcast; beyond that it is repeated once per salt and the big side spread over the salts.
     """
-    lookup = materialize(lookup)
     if lookup.count() <= limit:
-        return big.join(F.broadcast(lookup), list(on))
+        return big.join(F.broadcast(lookup), list(on), how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [*on, "_salt"]).drop("_salt")
+    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
