@@ -151,3 +151,21 @@ def join_lookup(
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def join_dimension(
+    facts: DataFrame, dimension: DataFrame, key: str, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Inner join with a table of unique keys of any size, when some keys may be hot in the facts.
+
+    A dimension of up to `limit` rows is broadcast. From a larger one only the rows of the most
+    frequent keys are, SKETCH_ITEMS at most; all other keys go through an ordinary join that no
+    single key dominates any more.
+    """
+    if dimension.count() <= limit:
+        return facts.join(F.broadcast(dimension), key)
+    top = facts.agg(F.expr(f"approx_top_k({key}, {SKETCH_ITEMS}, 10000)").alias("top")).first()["top"]
+    hot = [r["item"] for r in top]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return facts.where(is_hot).join(F.broadcast(dimension.where(is_hot)), key).unionByName(
+        facts.where(~is_hot).join(dimension.where(~is_hot), key))
