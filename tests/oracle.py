@@ -24,7 +24,7 @@ def rows(columns: list[str], data: list[tuple]) -> list[tuple]:
     order = sorted(range(len(columns)), key=columns.__getitem__)
 
     def plain(value):
-        return round(float(value), 9) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
+        return round(value, 9) if isinstance(value, float) else value
 
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
@@ -38,7 +38,7 @@ def compare(spark, con, name: str, directory: str) -> str:
     want = rows(columns, cursor.fetchall())
     if sorted(columns) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} instead of {sorted(columns)}"
-    if got != want:
+    if repr(got) != repr(want):
         extra = [r for r in got if r not in set(want)][:2] if len(got) < 20000 else "..."
         missing = [r for r in want if r not in set(got)][:2] if len(want) < 20000 else "..."
         return f"{len(got)} rows instead of {len(want)}; extra {extra}; missing {missing}"
