@@ -11,7 +11,7 @@ from tracewright import get_spark  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = get_spark(
-        "tests", master="local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+        "tests", master="local[8]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false",
         spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     return session

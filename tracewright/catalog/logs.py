@@ -50,8 +50,8 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("workflow"),
         F.col("c_nationkey").cast("string").alias("category"))
-    log = join_dimension(_events(spark, sf_dir, _user_and_day(), "user_id"), users, "user_id")
-    return split_hot_cases(log.drop("user_id"))
+    log = split_hot_cases(_events(spark, sf_dir, _user_and_day(), "user_id"))
+    return join_dimension(log, users, "user_id").drop("user_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,10 @@ def traces_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.traces(by_user(spark, sf_dir), segment_events=40).select(TRACE, "segment", joined("activities"))
 
 
-@query(with_(DAILY, SEQUENCE, VARIANTS) + "SELECT variant_id, n_events, n, variant AS activities FROM vr")
+@query(with_(DAILY, SEQUENCE, VARIANTS) + "SELECT variant_id, 0 AS segment, n, variant AS activities FROM vr")
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = daily(spark, sf_dir)
-    found = V.variants(log)
-    return found.join(V.variant_sequences(log, found), V.VARIANT).select(
-        V.VARIANT, "n_events", "n", joined("activities"))
+    return V.variant_sequences(log, V.variants(log)).select(V.VARIANT, "segment", "n", joined("activities"))
 
 
 @query(with_(BY_USER, SEQUENCE, VARIANTS) + "SELECT variant_id, n_events, n FROM vr")
@@ -109,11 +107,11 @@ def variant_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.variant_frequency(daily(spark, sf_dir)).select(V.VARIANT, joined("activities"), "n")
 
 
-@query(with_(DAILY, SEQUENCE, VARIANTS, TOP) + """SELECT variant_id, variant AS activities,
+@query(with_(DAILY, SEQUENCE, VARIANTS, TOP) + """SELECT variant_id, variant AS activities, n,
 round(n / (SELECT count(*) FROM cs), 6) AS share FROM tv""")
 def variant_relative_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.variant_relative_frequency(daily(spark, sf_dir)).select(
-        V.VARIANT, joined("activities"), F.round("share", 6).alias("share"))
+        V.VARIANT, joined("activities"), "n", F.round("share", 6).alias("share"))
 
 
 @query(with_(DAILY, SEQUENCE, VARIANTS, TOP) + "SELECT variant_id, n, trace FROM tv JOIN cs USING (variant)")

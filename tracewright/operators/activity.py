@@ -36,15 +36,19 @@ def _share(keys: Sequence[str]) -> Column:
     return F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
 
 
+def _counts(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return drop_dummies(events).groupBy(*keys, ACTIVITY).agg(F.count("*").alias("n"))
+
+
 def activity_frequency(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Events per activity, most frequent first."""
-    return drop_dummies(events).groupBy(*keys, ACTIVITY).agg(F.count("*").alias("n")).orderBy(
-        *keys, F.desc("n"), ACTIVITY)
+    return _counts(events, keys).orderBy(*keys, F.desc("n"), ACTIVITY)
 
 
 def activity_relative_frequency(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Share of each activity in all events."""
-    return activity_frequency(events, keys).select(*keys, ACTIVITY, "n", _share(keys).alias("share"))
+    """Share of each activity in all events, most frequent first."""
+    return _counts(events, keys).select(*keys, ACTIVITY, "n", _share(keys).alias("share")).orderBy(
+        *keys, F.desc("n"), ACTIVITY)
 
 
 def log_interval(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +86,8 @@ def activity_frequency_by_quartile(events: DataFrame, keys: Sequence[str] = ())
         first, last = F.col("first"), F.col("last")
     else:
         placed = events
-        first, last = extent.select("first").scalar(), extent.select("last").scalar()
+        found = extent.select(F.struct("first", "last")).scalar()
+        first, last = found["first"], found["last"]
     ends = _quarter_ends(first, last)
     # slices touch without overlap at millisecond resolution, so the first end not passed decides
     quartile = F.coalesce(*[F.when(F.col(START) <= end, q) for q, end in enumerate(ends, start=1)])

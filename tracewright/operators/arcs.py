@@ -23,7 +23,7 @@ def directly_follows(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def case_arcs(
-    events: DataFrame, model: DataFrame, mode: str = "latest", chosen: DataFrame | None = None
+    events: DataFrame, model: DataFrame, mode: str = "latest", chosen: DataFrame | None = None, few: bool = False
 ) -> DataFrame:
     """The model arcs each event of a variant is reached by: `variant_id, src_pos, pos, src, dst, reps`.
 
@@ -31,10 +31,11 @@ def case_arcs(
     between them and has used it up already. Seen from the arc, that is: among the events of the
     case that are x or y, the one right before y is x. So events are spread over the arcs they
     touch and compared with the one before, all cases of a variant at once. `mode="directly_follows"`
-    only takes sources right before the event in the whole case.
+    only takes sources right before the event in the whole case. `chosen` restricts the variants;
+    `few` says that they are a handful.
     """
     chosen = variants(events) if chosen is None else chosen
-    placed = variant_events(events, chosen, dummies=True)
+    placed = variant_events(events, chosen, dummies=True, few=few)
     arcs = model.select(*ARC)
     if mode == "directly_follows":
         near = with_neighbours(placed, before=[ACTIVITY, POS], by=[VARIANT], order=[POS]).where("not is_first")
@@ -55,17 +56,17 @@ def arc_frequency(arcs_of_cases: DataFrame) -> DataFrame:
 
 def variant_arcs(events: DataFrame, model: DataFrame, chosen: DataFrame, mode: str = "latest") -> DataFrame:
     """The arcs of a few chosen variants, such as `top_variants`, in order of the event they lead to."""
-    return case_arcs(events, model, mode, chosen).orderBy(VARIANT, POS, "src")
+    return case_arcs(events, model, mode, chosen, few=True).orderBy(VARIANT, POS, "src")
 
 
 def arcs_of_reported_cases(events: DataFrame, model: DataFrame, reported: DataFrame) -> DataFrame:
     """The arcs of the two rows of `longest_shortest_case`, by `kind`."""
-    reported = F.broadcast(reported.select("kind", TRACE))
-    own = events.join(reported.select(TRACE).distinct(), TRACE, "left_semi")
-    single = own.groupBy(TRACE).agg(F.count("*").alias("n_events")).select(
-        F.col(TRACE).alias(VARIANT), "n_events", F.lit(1).cast("long").alias("n"))
-    found = case_arcs(own, model, chosen=single)
-    return found.withColumnRenamed(VARIANT, TRACE).join(reported, TRACE).select(
+    reported = reported.select("kind", TRACE)
+    single = reported.select(
+        F.col(TRACE).alias(VARIANT), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("n_events")
+    ).distinct()
+    found = case_arcs(events, model, chosen=single, few=True)
+    return found.withColumnRenamed(VARIANT, TRACE).join(F.broadcast(reported), TRACE).select(
         "kind", TRACE, "src_pos", POS, *ARC)
 
 

@@ -43,9 +43,9 @@ def bucket_equal_count(df: DataFrame, value: str, kept: DataFrame | None = None)
     cuts = {"_c3": F.floor(upper / 2), "_c2": upper, "_c1": upper + F.floor((n - upper) / 2)}
     # the smallest value of the best c distinct ones has rank n - c from below
     bounds = values_at_ranks(df.select(value).distinct(), [], value, {name: n - c for name, c in cuts.items()})
+    bound = bounds.select(F.struct(*cuts)).scalar()
     bucket = F.coalesce(
-        *[F.when(F.col(value) >= bounds.select(name).scalar(), b) for name, b in (("_c3", 3), ("_c2", 2), ("_c1", 1))],
-        F.lit(0))
+        *[F.when(F.col(value) >= bound[name], b) for name, b in (("_c3", 3), ("_c2", 2), ("_c1", 1))], F.lit(0))
     return df.withColumn("bucket", bucket)
 
 

@@ -104,7 +104,7 @@ def bindings(arcs_of_cases: DataFrame) -> DataFrame:
     """
     per_event = [
         arcs_of_cases.groupBy(VARIANT, F.col(own_pos).alias(POS), F.col(own).alias(ACTIVITY), "reps").agg(
-            F.array_sort(F.collect_set(other)).alias("members")).withColumn("side", F.lit(side))
+            F.sort_array(F.collect_set(other)).alias("members")).withColumn("side", F.lit(side))
         for side, own, own_pos, other in (("out", "src", "src_pos", "dst"), ("in", "dst", POS, "src"))
     ]
     return per_event[0].unionByName(per_event[1]).groupBy(ACTIVITY, "side", "members").agg(

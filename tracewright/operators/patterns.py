@@ -68,37 +68,36 @@ def grow_patterns(
     Growth ends when no set of the last size is frequent, or at `max_arcs`. Each size is computed
     once and kept in shared storage.
     """
-    least = (threshold - SLACK) * n_cases
+    frequent = F.col("n") >= (threshold - SLACK) * n_cases
     sets = materialize(sets)
     singles = materialize(sets.groupBy("arc").agg(F.sum("weight").alias("n")))
+    # the frequent arcs by the nodes they touch
+    touching = materialize(singles.where(frequent).select(
+        "arc", F.explode(F.array_distinct(F.array("arc.src", "arc.dst"))).alias("node")))
     level = singles.select(F.array("arc").alias("arcs"), "n")
-    good = singles.where(F.col("n") >= least).select("arc")
-    held = join_lookup(sets.select("set_id", "weight", F.array("arc").alias("arcs")),
-                       level.where(F.col("n") >= least).select("arcs"), ["arcs"], "left_semi")
+    held = sets.select("set_id", "weight", F.array("arc").alias("arcs"))
     tried, size = level, 1
-    # arcs by the nodes they touch
-    touching = materialize(good.select("arc", F.explode(F.array_distinct(F.array("arc.src", "arc.dst"))).alias("node")))
     while max_arcs is None or size < max_arcs:
-        parents = level.where(F.col("n") >= least).select("arcs")
-        wider = (
+        parents = level.where(frequent).select("arcs")
+        wider = materialize(
             parents.select("arcs", F.explode(_ends(F.col("arcs"))).alias("node"))
             .join(touching, "node")
             .where(~F.array_contains("arcs", F.col("arc")))
-            .select(F.array_sort(F.array_append("arcs", F.col("arc"))).alias("_wider"), "arcs", "arc")
+            .select(F.sort_array(F.array_append("arcs", F.col("arc"))).alias("_wider"), "arcs", "arc")
             # a set is reached from several parents; one is enough to find where it occurs
             .groupBy("_wider").agg(F.min(F.struct("arcs", "arc")).alias("_from"))
             .select("_wider", "_from.*")
         )
+        rows = wider.count()
+        if rows == 0:
+            break
         held = materialize(
-            join_lookup(held, materialize(wider), ["arcs"])
+            join_lookup(held, wider, ["arcs"], rows=rows)
             .join(sets.select("set_id", "arc"), ["set_id", "arc"])
             .select("set_id", "weight", F.col("_wider").alias("arcs"))
         )
         level = materialize(held.groupBy("arcs").agg(F.sum("weight").alias("n")))
-        if level.isEmpty():
-            break
         tried = tried.unionByName(level)
-        held = join_lookup(held, level.where(F.col("n") >= least).select("arcs"), ["arcs"], "left_semi")
         size += 1
     return tried.select("arcs", F.size("arcs").alias("n_arcs"), "n", (F.col("n") / n_cases).alias("support"))
 
@@ -151,7 +150,7 @@ def pattern_summary(patterns: DataFrame) -> DataFrame:
 
     Patterns are named by their arcs: a running number would need all of them in one place.
     """
-    nodes = F.array_sort(_ends(F.col("arcs")))
+    nodes = F.sort_array(_ends(F.col("arcs")))
     label = lambda a: F.concat(simplify_name(a["src"]), F.lit("->"), simplify_name(a["dst"]))
     n_nodes, n_arcs = F.size(nodes), F.size("arcs")
     return patterns.select(

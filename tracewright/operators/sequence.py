@@ -128,7 +128,7 @@ def traces(
     if dummies:
         placed = add_dummies(placed, keys)
     rows = placed.withColumn(SEGMENT, segment_of(segment_events)).groupBy(*keys, TRACE, SEGMENT).agg(
-        F.array_sort(F.collect_list(F.struct(POS, ACTIVITY, START, COMPLETE))).alias("_items"))
+        F.sort_array(F.collect_list(F.struct(POS, ACTIVITY, START, COMPLETE))).alias("_items"))
     real = F.filter("_items", lambda e: ~e[ACTIVITY].isin(START_TASK, END_TASK))
     return rows.select(
         *keys, TRACE, SEGMENT,

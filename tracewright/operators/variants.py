@@ -62,79 +62,86 @@ def variant_cases(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def variant_events(
     events: DataFrame, chosen: DataFrame, keys: Sequence[str] = (), dummies: bool = False,
-    segment_events: int = SEGMENT_EVENTS,
+    few: bool = False, segment_events: int = SEGMENT_EVENTS,
 ) -> DataFrame:
     """The numbered events of the cases that the chosen variants are read from.
 
     `chosen` is what `variants` yields, or part of it. Matching goes by stretch of positions, so
-    that a very large case is spread over many tasks.
+    that a very large case is spread over many tasks. `few` says that `chosen` was limited to a
+    handful of rows; those are broadcast, and only their events are put in order.
     """
+    wanted = chosen.select(*keys, F.col(VARIANT).alias(TRACE), F.col("n").alias("reps"), "n_events")
+    if few:
+        events = events.join(F.broadcast(wanted.select(*keys, TRACE)), [*keys, TRACE], "left_semi")
     placed = sequence(events, keys)
     if dummies:
         placed = add_dummies(placed, keys)
     placed = placed.withColumn(SEGMENT, segment_of(segment_events))
-    last = F.floor((F.col("n_events") - 1) / segment_events).cast("long")
-    wanted = chosen.select(
-        *keys, F.col(VARIANT).alias(TRACE), F.col("n").alias("reps"),
-        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(SEGMENT))
-    return placed.join(wanted, [*keys, TRACE, SEGMENT]).select(
-        *keys, F.col(TRACE).alias(VARIANT), "reps", SEGMENT, POS, ACTIVITY, *sliced(placed))
+    if few:
+        found = placed.join(F.broadcast(wanted), [*keys, TRACE])
+    else:
+        last = F.floor((F.col("n_events") - 1) / segment_events).cast("long")
+        stretches = wanted.withColumn(SEGMENT, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        found = placed.join(stretches, [*keys, TRACE, SEGMENT])
+    return found.select(*keys, F.col(TRACE).alias(VARIANT), "reps", SEGMENT, POS, ACTIVITY, *sliced(placed))
 
 
 def variant_sequences(
     events: DataFrame, chosen: DataFrame, keys: Sequence[str] = (), dummies: bool = False,
-    segment_events: int = SEGMENT_EVENTS,
+    few: bool = False, segment_events: int = SEGMENT_EVENTS,
 ) -> DataFrame:
-    """The activities of the chosen variants as arrays, in rows of at most `segment_events`."""
+    """The activities of the chosen variants as arrays, in rows of at most `segment_events`.
+
+    Further columns are the `segment` and the number of cases `n`.
+    """
     return (
-        variant_events(events, chosen, keys, dummies, segment_events)
-        .groupBy(*keys, VARIANT, SEGMENT)
-        .agg(F.array_sort(F.collect_list(F.struct(POS, ACTIVITY))).alias("_items"))
-        .select(*keys, VARIANT, SEGMENT, F.col(f"_items.{ACTIVITY}").alias("activities"))
+        variant_events(events, chosen, keys, dummies, few, segment_events)
+        .groupBy(*keys, VARIANT, SEGMENT, F.col("reps").alias("n"))
+        .agg(F.sort_array(F.collect_list(F.struct(POS, ACTIVITY))).alias("_items"))
+        .select(*keys, VARIANT, SEGMENT, F.col(f"_items.{ACTIVITY}").alias("activities"), "n")
     )
 
 
+def _top(counted: DataFrame, k: int) -> DataFrame:
+    return counted.orderBy(F.desc("n"), VARIANT).limit(k)
+
+
 def top_variants(events: DataFrame, k: int = 3) -> DataFrame:
-    """The k variants of most cases, ties by `variant_id`, with their share of all cases.
+    """The k variants of most cases, ties by `variant_id`.
 
     `variants` only carries counts, so the k rows are found without moving a single sequence.
     """
-    counted = variants(events)
-    total = counted.agg(F.sum("n")).scalar()
-    return (
-        counted.orderBy(F.desc("n"), VARIANT)
-        .limit(k)
-        .select(VARIANT, "n_events", "n", (F.col("n") / total).alias("share"), total.alias("n_cases"))
-    )
+    return _top(variants(events), k)
 
 
 def variant_frequency(events: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent variants with their cases counted and START and END around the activities."""
-    top = F.broadcast(top_variants(events, k))
-    return variant_sequences(events, top, dummies=True).join(top, VARIANT).select(
-        VARIANT, SEGMENT, "activities", "n")
+    return variant_sequences(events, top_variants(events, k), dummies=True, few=True)
 
 
 def variant_relative_frequency(events: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent variants with their share of the cases."""
-    top = F.broadcast(top_variants(events, k))
-    return variant_sequences(events, top).join(top, VARIANT).select(VARIANT, SEGMENT, "activities", "share")
+    counted = variants(events)
+    total = counted.agg(F.sum("n")).scalar()
+    return variant_sequences(events, _top(counted, k), few=True).withColumn("share", F.col("n") / total)
 
 
 def variant_frequency_with_cases(events: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent variants with each of their cases, one per row."""
     prints = fingerprints(events)
-    top = _counted(prints, ()).orderBy(F.desc("n"), VARIANT).limit(k)
+    top = _top(_counted(prints, ()), k)
     return prints.join(F.broadcast(top), list(PRINT)).select(VARIANT, "n", TRACE)
 
 
 def variant_compliance(events: DataFrame, k: int = 3) -> DataFrame:
     """For each top variant: percentage of cases, cases that comply and cases that do not."""
-    return top_variants(events, k).select(
+    counted = variants(events)
+    total = counted.agg(F.sum("n")).scalar()
+    return _top(counted, k).select(
         VARIANT,
-        F.round(F.col("share") * 100, 2).alias("percent"),
+        F.round(F.col("n") / total * 100, 2).alias("percent"),
         F.col("n").alias("compliant"),
-        (F.col("n_cases") - F.col("n")).alias("not_compliant"),
+        (total - F.col("n")).alias("not_compliant"),
     )
 
 

@@ -65,8 +65,8 @@ def category_timeline(extents: DataFrame) -> DataFrame:
 
     Bins count from the earliest end of a case.
     """
-    frame = report_bin_width(extents)
-    first, last, width = (frame.select(c).scalar() for c in ("first", "last", "width"))
+    frame = report_bin_width(extents).select(F.struct("first", "last", "width")).scalar()
+    first, last, width = frame["first"], frame["last"], frame["width"]
     counted = extents.groupBy(
         "category", F.floor((F.col("last_complete") - first) / width).cast("long").alias("bin")
     ).agg(F.count("*").alias("n"))

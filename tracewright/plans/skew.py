@@ -47,7 +47,7 @@ def split_hot_cases(log: DataFrame, min_events: int = HOT_CASE_EVENTS) -> DataFr
         .join(F.broadcast(sizes), TRACE)
         .where(F.pmod(F.xxhash64(TRACE, START, SEQ), "_rate") == 0)
         .groupBy(TRACE, "_parts")
-        .agg(F.array_sort(F.collect_list(point)).alias("_sample"))
+        .agg(F.sort_array(F.collect_list(point)).alias("_sample"))
     )
     # every (sample size / parts)-th sampled event is a cut point
     cuts = sampled.select(
@@ -139,14 +139,16 @@ def with_positions(
 
 
 def join_lookup(
-    big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS
+    big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
+    limit: int = BROADCAST_ROWS, rows: int | None = None,
 ) -> DataFrame:
     """Join with a table that is usually tiny, on a key that may be hot in `big`: inner or left_semi.
 
-    The lookup is counted first, so it should be cheap to compute or materialized. Up to `limit` rows
-    it is broadcast; beyond that it is repeated once per salt and the big side spread over the salts.
+    The lookup is counted first unless its number of `rows` is known, so it should be cheap to
+    compute or materialized. Up to `limit` rows it is broadcast; beyond that it is repeated once per
+    salt and the big side spread over the salts.
     """
-    if lookup.count() <= limit:
+    if (lookup.count() if rows is None else rows) <= limit:
         return big.join(F.broadcast(lookup), list(on), how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
