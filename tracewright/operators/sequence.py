@@ -53,12 +53,12 @@ def artificial_starts(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return near.withColumn(START, start).select(*events.columns)
 
 
-def add_dummies(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def add_dummies(events: DataFrame, keys: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """Put a START event before the first and an END event after the last event of each case.
 
     START ends where the first event starts, END starts where the last event (in start order)
     completes; both last a second. If the events carry `pos`, they get the positions around. Other
-    attributes are empty.
+    attributes are empty but for those in `keep`, which hold for the whole case.
     """
     by = [*keys, TRACE]
     near = with_neighbours(events, before=[SEQ], after=[SEQ], by=by)
@@ -66,7 +66,7 @@ def add_dummies(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     marker = F.array_compact(F.array(
         F.when(F.col("is_first"), "start"), F.lit("own"), F.when(F.col("is_last"), "end")))
     rows = near.withColumn("_row", F.explode(marker))
-    kept = {*by, *sliced(events)}
+    kept = {*by, *keep, *sliced(events)}
 
     def value(column: str) -> Column:
         own = F.col(column)

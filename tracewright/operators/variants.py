@@ -23,9 +23,18 @@ HOT_VARIANT_CASES = 1_000_000
 VARIANT = "variant_id"
 
 
+def _of_cases(events: DataFrame) -> DataFrame:
+    """Events without a case id are in no case.
+
+    Said here, since every join on the case says it too: the same filter everywhere lets all parts
+    of a query share one shuffle.
+    """
+    return events.where(F.col(TRACE).isNotNull())
+
+
 def fingerprints(events: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """Per case: the fingerprint of its sequence, and further aggregates if asked for."""
-    return sequence(events, keys).groupBy(*keys, TRACE).agg(
+    return sequence(_of_cases(events), keys).groupBy(*keys, TRACE).agg(
         F.count("*").alias(PRINT[0]),
         *[F.bit_xor(F.xxhash64(F.lit(salt), POS, ACTIVITY)).alias(name)
           for salt, name in enumerate(PRINT[1:], start=1)],
@@ -66,24 +75,26 @@ def variant_events(
 ) -> DataFrame:
     """The numbered events of the cases that the chosen variants are read from.
 
-    `chosen` is what `variants` yields, or part of it. Matching goes by stretch of positions, so
-    that a very large case is spread over many tasks. `few` says that `chosen` was limited to a
-    handful of rows; those are broadcast, and only their events are put in order.
+    `chosen` is what `variants` yields, or part of it. Only events of those cases are put in order;
+    the join is on the column that the windows are partitioned by. If very large cases are sliced,
+    matching goes by stretch of positions, so that such a case is spread over many tasks. `few` says
+    that `chosen` was limited to a handful of rows, which are then broadcast.
     """
     wanted = chosen.select(*keys, F.col(VARIANT).alias(TRACE), F.col("n").alias("reps"), "n_events")
-    if few:
-        events = events.join(F.broadcast(wanted.select(*keys, TRACE)), [*keys, TRACE], "left_semi")
+    by_case = few or not sliced(events)
+    events = _of_cases(events)
+    if by_case:
+        cases = wanted.drop("n_events")
+        events = events.join(F.broadcast(cases) if few else cases, [*keys, TRACE])
     placed = sequence(events, keys)
     if dummies:
-        placed = add_dummies(placed, keys)
+        placed = add_dummies(placed, keys, keep=["reps"])
     placed = placed.withColumn(SEGMENT, segment_of(segment_events))
-    if few:
-        found = placed.join(F.broadcast(wanted), [*keys, TRACE])
-    else:
+    if not by_case:
         last = F.floor((F.col("n_events") - 1) / segment_events).cast("long")
         stretches = wanted.withColumn(SEGMENT, F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        found = placed.join(stretches, [*keys, TRACE, SEGMENT])
-    return found.select(*keys, F.col(TRACE).alias(VARIANT), "reps", SEGMENT, POS, ACTIVITY, *sliced(placed))
+        placed = placed.join(stretches, [*keys, TRACE, SEGMENT])
+    return placed.select(*keys, F.col(TRACE).alias(VARIANT), "reps", SEGMENT, POS, ACTIVITY, *sliced(placed))
 
 
 def variant_sequences(
