@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright import LogSpec
+from tracewright import LogSpec, mine
 from tracewright.functions import format_duration, normalize_activity, simplify_name, strip_accents
 from tracewright.operators import activity, arcs, branches, buckets, cases, cleaning, loops, model, sequence, variants
 from tracewright.operators import workflow as W
@@ -324,3 +324,13 @@ def test_xes_with_offsets_and_fractions(spark, tmp_path):
         ("2.1", "A", 1577836800000), ("caso 1.5", "A", 1577836800250), ("caso 1.5", "B", 1577836801000)]
     renamed = read_xes_log(spark, str(tmp_path / "log.xes"), rewrite_names=True)
     assert {r["case"].strip() for r in renamed.collect()} == {"15", "201"}
+
+
+def test_mining_yields_tables_that_can_be_saved(spark, make_cases, tmp_path):
+    tables = mine(make_cases(*["A B B C"] * 20, *["A C"] * 2, "A B"), group=True)
+    paths = save_tables(tables, str(tmp_path / "mined"))
+    rows = {name: load_log(spark, path).count() for name, path in paths.items()}
+    assert rows["events"] == 20 * 5 + 2 * 4 + 4 and rows["traces"] == 23
+    assert rows["edges"] == 4 and rows["nodes"] == 5 and rows["loops"] == 0
+    assert rows["variant_frequency"] == 3 and rows["longest_shortest_case"] == 2
+    assert all(rows[name] for name in rows if name != "loops")

@@ -102,6 +102,13 @@ def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True)
 
 
+@query(with_(DAILY) + """SELECT trace AS "CaseIdentifier", activity AS "TaskIdentifier" FROM ev""")
+def export_csv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "export")
+    export_csv(daily(spark, sf_dir), path, times=False)
+    return spark.read.csv(path, header=True)
+
+
 @query(with_(DAILY) + """SELECT trace, activity, ts//1000*1000 AS "timestamp", tf//1000*1000 AS timestampf FROM ev""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.standardize(_as_text(daily(spark, sf_dir)), CHECKED).select(*EVENT_COLUMNS)

@@ -6,15 +6,18 @@ not only those from START and to END.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.catalog.logs import (
-    CASE_ARCS, CONVERSATIONS, DAILY, PADDED, SEQUENCE, TAGGED, TOP, VARIANTS,
+    CASE_ARCS, CONVERSATIONS, DAILY, PADDED, RUNS, SEQUENCE, TAGGED, TOP, VARIANTS,
     conversations, daily, model, summary, tagged, with_,
 )
 from tracewright.catalog.registry import query
 from tracewright.catalog.statistics import rounded
+from tracewright.mining import mine
 from tracewright.operators import arcs as R
 from tracewright.operators import loops as L
 from tracewright.operators import model as M
@@ -310,3 +313,19 @@ def highlight_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = daily(spark, sf_dir)
     edges = _model(log, LOOSE)
     return M.highlight_nodes(M.model_nodes(log, edges), R.variant_arcs(log, edges, top_variants(log)))
+
+
+@query(with_(DAILY.replace("ev AS (SELECT", "e0 AS (SELECT", 1), RUNS.replace("FROM ev", "FROM e0"),
+             "ev AS (SELECT * FROM runs)", PADDED, VARIANTS, model(), CASE_ARCS)
+       + """SELECT 'events' AS name, count(*) AS n FROM pad UNION ALL SELECT 'traces', count(*) FROM cs
+UNION ALL SELECT 'edges', count(*) FROM model WHERE src <> dst UNION ALL SELECT 'case_arcs', count(*) FROM ca
+UNION ALL SELECT 'variant_durations', count(*) FROM vr UNION ALL SELECT 'case_extents', count(*) FROM cs
+UNION ALL SELECT 'activity_durations', count(DISTINCT activity) FROM ev
+UNION ALL SELECT 'variant_frequency', least(3, count(*)) FROM vr UNION ALL SELECT 'longest_shortest_case', 2""")
+def mine_table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the main tables of a log mined with runs collapsed."""
+    tables = mine(daily(spark, sf_dir), group=True)
+    names = ("events", "traces", "edges", "case_arcs", "variant_durations", "case_extents", "activity_durations",
+             "variant_frequency", "longest_shortest_case")
+    counts = [tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
+    return reduce(DataFrame.unionByName, counts)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.arcs import ARC
-from tracewright.operators.sequence import padded_sequence
+from tracewright.operators.sequence import case_count
 from tracewright.operators.variants import VARIANT
 from tracewright.plans.skew import with_neighbours
 from tracewright.spec import ACTIVITY, END_TASK, POS, START_TASK, TRACE
@@ -126,7 +126,9 @@ def discover(events: DataFrame, threshold: float = THRESHOLD) -> dict[str, DataF
 
 def model_nodes(events: DataFrame, edges: DataFrame) -> DataFrame:
     """The activities in a model with their frequency; START and END count the cases."""
-    counted = padded_sequence(events).groupBy(ACTIVITY).agg(F.count("*").alias("frequency"))
+    ends = F.explode(F.array(F.lit(START_TASK), F.lit(END_TASK))).alias(ACTIVITY)
+    counted = events.groupBy(ACTIVITY).agg(F.count("*").alias("frequency")).unionByName(
+        case_count(events).select(ends, F.col("n_cases").alias("frequency")))
     used = edges.select(F.explode(F.array(*ARC)).alias(ACTIVITY)).distinct()
     return counted.join(used, ACTIVITY, "left_semi")
 

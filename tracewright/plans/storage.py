@@ -29,7 +29,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Compute once into a parquet table in shared storage: for tables of which later steps read some columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the copy lies in shared storage and survives lost executors."""
+    """Compute once and cut the lineage; the copy lies in shared storage and survives lost executors.
+
+    For small tables such as models, and for the state of loops.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -46,9 +46,10 @@ def read_typed_log(spark: SparkSession, path: str, fix_case_dots: bool = False)
     return zero_dots(log, log.columns[0]) if fix_case_dots else log
 
 
-def export_csv(events: DataFrame, path: str) -> None:
-    """Write case, task and both times as CSV part files, straight from the executors."""
+def export_csv(events: DataFrame, path: str, times: bool = True) -> None:
+    """Write case and task, and both times unless told not to, as CSV part files from the executors."""
+    columns = {c: n for c, n in EXPORT_COLUMNS.items() if times or c in (TRACE, ACTIVITY)}
     events.select(
         *[(F.date_format(F.timestamp_millis(c), EXPORT_PATTERN) if c in (START, COMPLETE) else F.col(c))
-          .alias(name) for c, name in EXPORT_COLUMNS.items()]
+          .alias(name) for c, name in columns.items()]
     ).write.mode("overwrite").csv(path, header=True, escape='"')
