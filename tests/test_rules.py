@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright import LogSpec, mine
+from tracewright import LogSpec, mine, report
 from tracewright.functions import format_duration, normalize_activity, simplify_name, strip_accents
 from tracewright.operators import activity, arcs, branches, buckets, cases, cleaning, loops, model, sequence, variants
 from tracewright.operators import workflow as W
@@ -334,3 +334,12 @@ def test_mining_yields_tables_that_can_be_saved(spark, make_cases, tmp_path):
     assert rows["edges"] == 4 and rows["nodes"] == 5 and rows["loops"] == 0
     assert rows["variant_frequency"] == 3 and rows["longest_shortest_case"] == 2
     assert all(rows[name] for name in rows if name != "loops")
+
+
+def test_report_yields_tables_that_can_be_saved(spark, make_cases, tmp_path):
+    log = make_cases("A B", "A", "B B").withColumns(
+        {"w": F.when(F.col("trace") == "c001", "other").otherwise("main"), "c": F.col("trace")})
+    paths = save_tables(report(log, "w", "c"), str(tmp_path / "report"))
+    rows = {name: load_log(spark, path).count() for name, path in paths.items()}
+    assert rows == {"cases": 3, "workflow_share": 2, "workflow_categories": 3, "workflow_durations": 2,
+                    "workflow_category_matrix": 3, "bin_width": 1, "category_timeline": 3}

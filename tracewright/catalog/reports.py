@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewright.catalog.logs import DAILY, SEQUENCE, TAGGED, daily, tagged, with_
 from tracewright.catalog.registry import query
 from tracewright.catalog.statistics import AVERAGES, rounded
+from tracewright.mining import report
 from tracewright.operators import buckets as B
 from tracewright.operators import workflow as W
 from tracewright.operators.activity import activity_averages, activity_frequency
 from tracewright.operators.arcs import directly_follows
+from tracewright.plans.storage import store
 
 EXTENTS = """ce AS (SELECT trace, min(tf) AS first_complete, max(tf) AS last_complete,
   arg_min(workflow, (ts, seq)) AS workflow, arg_min(category, (ts, seq)) AS category FROM ev GROUP BY trace)"""
@@ -63,13 +65,13 @@ def report_bin_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(TAGGED, EXTENTS, TIMELINE) + "SELECT * FROM tl")
 def category_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.category_timeline(_extents(spark, sf_dir))
+    return W.category_timeline(store(_extents(spark, sf_dir), "cases"))
 
 
 @query(with_(TAGGED, EXTENTS, TIMELINE) + """SELECT *, CAST(sum(n) OVER (PARTITION BY bin) AS BIGINT) AS total,
 round(CASE WHEN sum(n) OVER (PARTITION BY bin) > 0 THEN 100.0*n/sum(n) OVER (PARTITION BY bin) END, 6) AS share FROM tl""")
 def category_timeline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(W.category_timeline_share(W.category_timeline(_extents(spark, sf_dir))), "share")
+    return rounded(report(tagged(spark, sf_dir), "workflow", "category")["category_timeline"], "share")
 
 
 @query(with_(TAGGED, EXTENTS) + """SELECT category, workflow, n FROM (SELECT DISTINCT workflow, category FROM ce)

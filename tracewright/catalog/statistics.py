@@ -12,7 +12,8 @@ from tracewright.catalog.registry import query
 from tracewright.catalog.sequences import joined
 from tracewright.operators import activity as A
 from tracewright.operators import cases as C
-from tracewright.operators.sequence import add_dummies, traces
+from tracewright.operators.sequence import add_dummies
+from tracewright.plans.storage import store
 
 BY_ACTIVITY = "du AS (SELECT activity, tf - ts AS d FROM ev)"
 MEANS = f"{BY_ACTIVITY},\nmn AS (SELECT activity, sum(d)//count(*) AS m FROM du GROUP BY activity)"
@@ -67,7 +68,8 @@ def quartile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(count(*)/sum(count(*)) OVER (PARTITION BY quartile), 6) AS share
 FROM ev JOIN qt ON ts BETWEEN first AND last GROUP BY quartile, activity""")
 def activity_frequency_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.activity_frequency_by_quartile(add_dummies(daily(spark, sf_dir))), "share")
+    events = store(add_dummies(daily(spark, sf_dir)), "events")  # read for the interval, then for the counts
+    return rounded(A.activity_frequency_by_quartile(events), "share")
 
 
 @query(with_(DAILY, AVERAGES) + """SELECT av.*, med.median FROM av JOIN
@@ -125,7 +127,7 @@ UNION ALL SELECT 'shortest', * FROM (SELECT trace, duration FROM cd ORDER BY dur
 FROM lc JOIN pad USING (trace) GROUP BY kind, lc.trace""")
 def longest_shortest_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = daily(spark, sf_dir)
-    return C.case_activities(traces(log), C.longest_shortest_case(log)).select(
+    return C.case_activities(log, C.longest_shortest_case(log)).select(
         "kind", "trace", "duration", joined("activities"))
 
 

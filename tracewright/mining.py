@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tracewright.operators import activity, arcs, buckets, cases, loops, model, sequence, variants
+from tracewright.operators import activity, arcs, buckets, cases, loops, model, sequence, variants, workflow
+from tracewright.operators.cleaning import drop_dummies
 from tracewright.plans.storage import materialize, store
 
 
@@ -14,15 +15,11 @@ def mine(
     """Model, activity, case, variant and arc statistics of one log, ready for `save_tables`.
 
     `group` makes one event of consecutive equal activities, `instant` makes up start times. The
-    ordered events, the model and the arcs of the variants are computed once and shared; all other
-    tables are lazy.
+    prepared events, the model and the arcs of the variants are computed once and stored; all other
+    tables are lazy and read those.
     """
-    if group:
-        log = sequence.collapse_runs(log)
-    if instant:
-        log = sequence.artificial_starts(log)
-    log = store(log, "log")
-    events = sequence.add_dummies(log)
+    events = store(sequence.prepare(log, group=group, instant=instant), "events")
+    log = drop_dummies(events)
     edges = materialize(model.clean_model(model.dependency_graph(log, threshold)))
     nodes = model.model_nodes(log, edges)
     case_arcs = store(arcs.case_arcs(log, edges), "case-arcs")
@@ -51,9 +48,24 @@ def mine(
         "variant_compliance": variants.variant_compliance(log, top),
         "variant_durations": variants.variant_durations(log),
         "variant_arcs": arcs.variant_arcs(log, edges, top_variants),
-        "longest_shortest_case": cases.case_activities(sequence.traces(log), extremes),
+        "longest_shortest_case": cases.case_activities(log, extremes),
         "longest_shortest_case_arcs": arcs.arcs_of_reported_cases(log, edges, extremes),
         "arc_frequency": arc_frequency,
         "arc_buckets": buckets.bucket_equal_width(arc_frequency, "frequency"),
         "loops": loops.loop_share(found_loops, arc_frequency),
     }
+
+
+def report(log: DataFrame, workflow_column: str, category_column: str) -> dict[str, DataFrame]:
+    """The workflow and category report: the table of cases is computed once, all others read it."""
+    extents = store(workflow.case_completion_extents(log, workflow_column, category_column), "cases")
+    timeline = workflow.category_timeline(extents)
+    return {
+        "cases": extents,
+        "workflow_share": workflow.workflow_share(extents),
+        "workflow_categories": workflow.workflow_categories(extents),
+        "workflow_durations": workflow.workflow_durations(extents),
+        "workflow_category_matrix": workflow.workflow_category_matrix(extents),
+        "bin_width": workflow.report_bin_width(extents),
+        "category_timeline": workflow.category_timeline_share(timeline),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.sequence import case_extents_by_order, sequence
+from tracewright.operators.sequence import case_extents_by_order, sequence, traces
 from tracewright.plans.ranks import medians, values_at_ranks
 from tracewright.spec import ACTIVITY, COMPLETE, POS, SEGMENT, START, TRACE
 
@@ -51,12 +51,15 @@ def longest_shortest_case(events: DataFrame, keys: Sequence[str] = ()) -> DataFr
     return ends.select(*keys, F.inline(kinds)).select(*keys, "kind", "of.*")
 
 
-def case_activities(traces: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The `traces` rows of a few chosen cases, with the columns of `chosen` added.
+def case_activities(events: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Activities of a few chosen cases as arrays, with the columns of `chosen` added.
 
-    `chosen` has one row per report line, such as the two rows of `longest_shortest_case`.
+    `chosen` has one row per report line, such as the two rows of `longest_shortest_case`. Only the
+    events of those cases are put in order.
     """
-    return traces.select(TRACE, SEGMENT, "activities").join(F.broadcast(chosen), TRACE)
+    chosen = F.broadcast(chosen)
+    own = events.join(F.broadcast(chosen.select(TRACE).distinct()), TRACE, "left_semi")
+    return traces(own).select(TRACE, SEGMENT, "activities").join(chosen, TRACE)
 
 
 def duration_five_numbers(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
