@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import mine
 from tracewright.catalog.logs import by_user
 from tracewright.operators import activity, arcs, cases, model, sequence, variants
 from tracewright.plans import skew
@@ -117,3 +118,9 @@ def test_values_at_ranks_by_brute_force(spark):
 def test_median_of_one_repeated_value(spark):
     df = spark.range(1000).select(F.lit(5).cast("long").alias("v"))
     assert medians(df, [], "v").first()["median"] == 5
+
+
+def test_mining_a_sliced_log_gives_the_same_tables(skewed, sliced):
+    plain, cut = mine(skewed, group=True, threshold=0.05), mine(sliced, group=True, threshold=0.05)
+    for name in ("events", "edges", "case_arcs", "variant_arcs", "longest_shortest_case", "longest_shortest_case_arcs"):
+        same(plain[name], cut[name])

@@ -19,15 +19,17 @@ def values_at_ranks(
     Rows are first counted per distinct value, then per high digit. The running count over the high
     digits says in which one each rank falls, and only the values of that digit are looked at
     again. A window therefore sees high digits or the values of a single digit, never a whole group.
+    Null values do not count, and null keys make no group.
     """
     keys = list(keys)
-    top = F.shiftright(F.col(value), DIGIT)
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+        df.groupBy(*keys, value)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_top", top)
+        .withColumn("_top", F.shiftright(F.col(value), DIGIT))
     )
+    # the join below asks for the same; said here, both of its sides share one scan and shuffle
+    for column in [*keys, value, "_top"]:
+        counts = counts.where(F.col(column).isNotNull())
 
     def cumulative(histogram: DataFrame, group: Sequence[str], step: str) -> DataFrame:
         upto = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
