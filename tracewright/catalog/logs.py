@@ -19,6 +19,8 @@ from tracewright.spec import ACTIVITY, COMPLETE, SEQ, START, TRACE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # times in the tables carry no zone; all queries take them as UTC, whatever the session was set to
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators.arcs import ARC
+from tracewright.plans.skew import join_lookup
 from tracewright.plans.storage import materialize
 from tracewright.spec import ACTIVITY, START_TASK
 
@@ -21,11 +22,12 @@ def breadth_first(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
     storage, so the plan stays short and a lost executor costs one round.
     """
     frontier = materialize(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
+    onward, n_arcs = arcs.select(F.col("src").alias("node"), "dst"), arcs.count()
     reached, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
         step = (
-            frontier.join(arcs, F.col("node") == F.col("src"))
+            join_lookup(frontier.select("origin", "node"), onward, ["node"], rows=n_arcs)
             .select("origin", F.col("dst").alias("node"))
             .distinct()
             .join(reached, ["origin", "node"], "left_anti")

@@ -74,14 +74,15 @@ def grow_patterns(
     # the frequent arcs by the nodes they touch
     touching = materialize(singles.where(frequent).select(
         "arc", F.explode(F.array_distinct(F.array("arc.src", "arc.dst"))).alias("node")))
+    n_touching = touching.count()
     level = singles.select(F.array("arc").alias("arcs"), "n")
     held = sets.select("set_id", "weight", F.array("arc").alias("arcs"))
     tried, size = level, 1
     while max_arcs is None or size < max_arcs:
         parents = level.where(frequent).select("arcs")
         wider = materialize(
-            parents.select("arcs", F.explode(_ends(F.col("arcs"))).alias("node"))
-            .join(touching, "node")
+            join_lookup(parents.select("arcs", F.explode(_ends(F.col("arcs"))).alias("node")),
+                        touching, ["node"], rows=n_touching)
             .where(~F.array_contains("arcs", F.col("arc")))
             .select(F.sort_array(F.array_append("arcs", F.col("arc"))).alias("_wider"), "arcs", "arc")
             # a set is reached from several parents; one is enough to find where it occurs
