@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.plans.storage import store
 from tracewright.spec import ORDER, PART, SEQ, START, TRACE
 
 HOT_CASE_EVENTS = 1_000_000  # a case above this is sliced
@@ -23,7 +24,8 @@ def split_hot_cases(log: DataFrame, min_events: int = HOT_CASE_EVENTS) -> DataFr
 
     Windows over a case then run on (case, slice), so one case never has to fit in one task;
     `with_neighbours` and `with_positions` put the slices back together. A log without such a case
-    is returned as it is. Slices only steer where the work runs, never what it yields, so an
+    is returned as it is; a sliced one is written once to shared storage, so that later steps neither
+    repeat the search for slices nor scan other cases to put borders together. Slices only steer where the work runs, never what it yields, so an
     approximate list of frequent cases and approximate cut points are enough. That list holds at
     most SKETCH_ITEMS cases and all slices together number at most MAX_PARTS + SKETCH_ITEMS.
     """
@@ -74,11 +76,9 @@ def split_hot_cases(log: DataFrame, min_events: int = HOT_CASE_EVENTS) -> DataFr
             ).otherwise(at),
         )
 
-    return (
-        log.join(F.broadcast(cuts), TRACE, "left")
-        .withColumn(PART, F.when(F.col("_cuts").isNotNull(), passed(F.col("_cuts"))))
-        .drop("_cuts")
-    )
+    cut = log.join(F.broadcast(cuts), TRACE, "left").withColumn(
+        PART, F.when(F.col("_cuts").isNotNull(), passed(F.col("_cuts")))).drop("_cuts")
+    return store(cut, "sliced-log")
 
 
 def sliced(df: DataFrame) -> list[str]:
