@@ -127,14 +127,16 @@ def top_variants(events: DataFrame, k: int = 3) -> DataFrame:
 
 def variant_frequency(events: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent variants with their cases counted and START and END around the activities."""
-    return variant_sequences(events, top_variants(events, k), dummies=True, few=True)
+    return variant_sequences(events, top_variants(events, k), dummies=True, few=True).orderBy(
+        F.desc("n"), VARIANT, SEGMENT)
 
 
 def variant_relative_frequency(events: DataFrame, k: int = 3) -> DataFrame:
     """The k most frequent variants with their share of the cases."""
     counted = variants(events)
     total = counted.agg(F.sum("n")).scalar()
-    return variant_sequences(events, _top(counted, k), few=True).withColumn("share", F.col("n") / total)
+    return variant_sequences(events, _top(counted, k), few=True).withColumn(
+        "share", F.col("n") / total).orderBy(F.desc("n"), VARIANT, SEGMENT)
 
 
 def variant_frequency_with_cases(events: DataFrame, k: int = 3) -> DataFrame:
