@@ -1,0 +1,25 @@
+"""The registered queries of the operators in this subpackage."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracewright.llm.registry import QUERIES, SQL
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Name -> query over the tables of a directory."""
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """Name -> SQL over tables of the same names."""
+    _load()
+    return dict(SQL)
+
+
+def _load() -> None:
+    from tracewright.llm import contract  # noqa: F401
