@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import packing, records
+from tracewright.llm import decontamination, html_text, language, minhash, packing, quality, records
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
 
@@ -27,6 +27,72 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"coalesce(regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), [])"
+
+DECONTAMINATION_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+items AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS passage
+    FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+          FROM (SELECT *, least(10, len(words)) AS n FROM items WHERE len(words) > 0))),
+places AS (
+    SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS passage
+    FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+          FROM docs CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(words) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, passage)),
+words_hit AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+items_hit AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
+
+
+@query(DECONTAMINATION_SQL)
+def op2_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = decontamination.find(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"))
+
+
+@query()
+def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, by distinct shingles of two words."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query()
+def op5_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.remainder() == 1)
+    model = language.train(language.sample_labelled(docs.where(~F.col("held_out")).select("doc_id", "text", "lang")))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query()
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and compression verdict of all documents."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
