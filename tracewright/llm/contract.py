@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, html_text, language, minhash, packing, quality, records
+from tracewright.llm import decontamination, html_text, language, lines, minhash, packing, quality, records
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
 
@@ -73,6 +73,16 @@ def op3_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query()
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    return lines.dedup_lines(docs).select(
+        "doc_id", F.coalesce(F.size(F.split("whole", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"),
+        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
+
+
 @query()
 def op5_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from two thirds of the labelled ones."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import materialize, store
 
-PIVOTS = 16  # of a large bucket in one round
-SMALL_BUCKET = 64  # members of a bucket that are all pivots at once
+PIVOTS = 16  # items of a bucket, about, that become pivots in one round
+ALL_PIVOTS = 64  # up to so many become pivots at once
 
 
 def _same(before: tuple, after: DataFrame) -> tuple[bool, tuple]:
@@ -44,6 +47,62 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select("b", "b").distinct())
 
 
+def _pair_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (key, rid): every row whose key another row has, with the first rid of the key.
+
+    The first and the last key of the partition also give a row with `edge`, as other partitions may have them.
+    """
+
+    def rows(key, rid, leader, edge):
+        return pa.record_batch([pa.array(key, pa.int64()), pa.array(rid, pa.int64()), pa.array(leader, pa.int64()),
+                                pa.array(np.full(len(key), edge), pa.bool_())], ["key", "rid", "leader", "edge"])
+
+    last_key = last_rid = leader = None
+    alone = False  # the current key had one row so far
+    for batch in batches:
+        key, rid = (batch.column(i).to_numpy() for i in (0, 1))
+        if not len(key):
+            continue
+        if last_key is None:
+            yield rows(key[:1], rid[:1], rid[:1], True)
+            last_key, last_rid, leader, alone = key[0], rid[0], rid[0], True
+        new = (key != np.r_[last_key, key[:-1]]) | (rid != np.r_[last_rid, rid[:-1]])
+        key, rid = key[new], rid[new]
+        if not len(key):
+            continue
+        starts = key != np.r_[last_key, key[:-1]]
+        at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), -1))
+        led = np.where(at < 0, leader, rid[at])
+        shared = ~starts
+        shared[:-1] |= starts[:-1] & (key[1:] == key[:-1])
+        if alone and not starts[0]:
+            yield rows([last_key], [leader], [leader], False)
+        yield rows(key[shared], rid[shared], led[shared], False)
+        alone = bool(starts[-1])
+        last_key, last_rid, leader = key[-1], rid[-1], led[-1]
+    if last_key is not None:
+        yield rows([last_key], [leader], [leader], True)
+
+
+def share_keys(keys: DataFrame) -> DataFrame:
+    """(key, rid) -> (key, rid, leader) for all keys of two or more items; the smallest item leads.
+
+    The rows are sorted by both columns over all partitions and each is held against its predecessor,
+    so a frequent key is spread over as many partitions as it fills.
+    """
+    ordered = keys.repartitionByRange("key", "rid").sortWithinPartitions("key", "rid")
+    found = store(ordered.mapInArrow(_pair_neighbours, "key long, rid long, leader long, edge boolean"), "shared-keys")
+    edges = found.where("edge").groupBy("key").agg(
+        F.min("leader").alias("leader"), F.array_sort(F.collect_set("rid")).alias("_all")).where(F.size("_all") > 1)
+    across = edges.select("key", F.explode("_all").alias("rid"), "leader")  # a row per partition that has the key
+    return found.where("not edge").drop("edge").unionByName(across)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if the rows, all of a few numbers, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def group_similar(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Items that share a key and pass verification, directly or over others: (node, root).
 
@@ -53,53 +112,44 @@ def group_similar(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     1. In every bucket the smallest item leads; each item is verified against the leader it shares
        most keys with, then against its other leaders if they are still in another group.
     2. Buckets that still hold several groups: items outside the leader's group become pivots, all at
-       once in small buckets and some at a time in large ones, and are verified against all members
+       once if they are few and some at a time if they are many, and are verified against all members
        of other groups that were not verified before, until every such item has been a pivot.
 
     So candidates grow with the members of a bucket, not with its pairs, as long as its items are
     similar. Items without a link are not returned.
     """
-    leaders = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = store(keys.join(leaders, "key"), "buckets")
-    stars = members.where("rid != leader").groupBy(F.col("leader").alias("a"), F.col("rid").alias("b")).agg(
-        F.count("*").alias("shared"))
-    stars = store(stars, "stars")
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("_best")).select(
-        (-F.col("_best.col2")).alias("a"), "b")
-    tested = store(best, "tested")
+    members = share_keys(keys)
+    stars = store(members.where("rid != leader").groupBy(F.col("leader").alias("a"), F.col("rid").alias("b")).agg(
+        F.count("*").alias("shared")), "stars")
+    # the leader with most shared keys, of these the smallest
+    most = stars.groupBy("b").agg(F.max("shared").alias("shared"))
+    tested = store(stars.join(most, ["b", "shared"]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested")
     links = store(verify(tested), "links")
     roots = store(connected_components(links), "roots")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of two groups that were not verified before."""
-        left = roots.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
-        right = roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
-        open_ = pairs.join(left, "a", "left").join(right, "b", "left").where(
+    def with_roots(pairs: DataFrame) -> DataFrame:
+        known = _small(roots)
+        return pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(
+            known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left").where(
             F.coalesce("_ra", "a") != F.coalesce("_rb", "b"))
-        return open_.select("a", "b").join(tested, ["a", "b"], "left_anti")
 
-    def grow(pairs: DataFrame) -> bool:
-        """Verify more pairs; True if that gave links."""
+    def grow(pairs: DataFrame) -> None:
+        """Verify the pairs of two groups that were not verified before."""
         nonlocal tested, links, roots
-        pairs = store(pairs, "pairs")
+        pairs = store(with_roots(pairs.join(tested, ["a", "b"], "left_anti")).select("a", "b"), "pairs")
         if pairs.isEmpty():
-            return False
+            return
         new = store(verify(pairs), "links")
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
-        if new.isEmpty():
-            return False
-        roots = store(connected_components(links), "roots")
-        return True
-
-    grow(apart(stars.select("a", "b")))
-    large = members.where("n > 2").select("key", "rid", "leader", "n")
+        tested = tested.unionByName(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = store(connected_components(links), "roots")
+
+    grow(stars.select("a", "b"))
     pivoted = None
     while True:
-        own = roots.select(F.col("node").alias("rid"), F.col("root").alias("_r"))
-        led = roots.select(F.col("node").alias("leader"), F.col("root").alias("_l"))
-        grouped = large.join(own, "rid", "left").join(led, "leader", "left").select(
-            "key", "rid", "n", F.coalesce("_r", "rid").alias("root"), F.coalesce("_l", "leader").alias("main"))
-        strays = grouped.where("root != main")
+        apart = with_roots(stars.select("a", "b")).select(F.col("a").alias("leader"), F.col("b").alias("rid"))
+        strays = members.join(_small(store(apart, "apart")), ["leader", "rid"], "left_semi").select("key", "rid").distinct()
         if pivoted is not None:
             strays = strays.join(pivoted, ["key", "rid"], "left_anti")
         strays = store(strays, "strays")
@@ -107,12 +157,9 @@ def group_similar(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
             return roots
         counts = strays.groupBy("key").agg(F.count("*").alias("_strays"))
         pivots = store(strays.join(counts, "key").where(
-            (F.col("n") <= SMALL_BUCKET) | (F.col("_strays") <= PIVOTS)
-            | (F.pmod(F.xxhash64("rid", "_strays"), F.col("_strays")) < PIVOTS)
-        ).select("key", "rid", "root"), "pivots")
-        others = grouped.select("key", F.col("rid").alias("_o"), F.col("root").alias("_ro"))
-        pairs = pivots.join(others, "key").where("root != _ro").select(
+            (F.col("_strays") <= ALL_PIVOTS) | (F.pmod(F.xxhash64("rid", "_strays"), F.col("_strays")) < PIVOTS)
+        ).select("key", "rid"), "pivots")
+        pairs = pivots.join(members.select("key", F.col("rid").alias("_o")), "key").where("rid != _o").select(
             F.least("rid", "_o").alias("a"), F.greatest("rid", "_o").alias("b")).distinct()
-        done = pivots.select("key", "rid")
-        pivoted = done if pivoted is None else pivoted.unionByName(done)
-        grow(apart(pairs))
+        pivoted = pivots if pivoted is None else pivoted.unionByName(pivots)
+        grow(pairs)
