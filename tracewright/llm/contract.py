@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, html_text, language, lines, minhash, packing, quality, records
+from tracewright.llm import decontamination, html_text, language, lines, minhash, packing, passages, quality, records, tool_calls
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
 
@@ -97,6 +97,96 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_sparse_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of all documents that occur elsewhere."""
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"))
+
+
+#: Fixed schemas of the tools that conversation turns are read as calls of: name, parameter, type, required.
+TOOLS = [
+    ("lookup", "text", "string", True), ("lookup", "words", "integer", True), ("lookup", "exact", "boolean", False),
+    ("search", "text", "string", True), ("search", "limit", "integer", True),
+    ("summarise", "text", "string", True), ("summarise", "words", "number", False),
+]
+
+CALLS_SQL = """
+WITH RECURSIVE turns AS (
+    SELECT conv_id, turn, role, text, coalesce(len(text), 0) AS size FROM conversations),
+messages AS (
+    SELECT conv_id, turn, CASE WHEN role = 'user' AND turn > 0 THEN 'tool' ELSE role END AS role,
+        CASE WHEN role = 'assistant' THEN NULL ELSE text END AS content,
+        CASE WHEN role = 'assistant' THEN 'call-' || turn WHEN role = 'user' AND turn > 0 THEN 'call-' || (turn - 1) END AS call_id,
+        CASE WHEN role = 'assistant' THEN CASE size % 4 WHEN 0 THEN 'lookup' WHEN 1 THEN 'search' WHEN 2 THEN 'summarise' ELSE 'unknown' END END AS name,
+        text, size, CASE WHEN role = 'assistant' AND size % 3 = 0 THEN 'call-' || (turn - 2) END AS ref
+    FROM turns),
+calls AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn) AS nth FROM messages WHERE name IS NOT NULL),
+answers AS (SELECT conv_id, call_id, min(turn) AS answer FROM messages WHERE name IS NULL AND call_id IS NOT NULL GROUP BY ALL),
+levels AS (
+    SELECT c.conv_id, c.call_id, 0 AS level FROM calls c
+    WHERE NOT EXISTS (SELECT 1 FROM calls r WHERE r.conv_id = c.conv_id AND r.call_id = c.ref)
+    UNION ALL
+    SELECT c.conv_id, c.call_id, l.level + 1 FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.ref),
+described AS (
+    SELECT m.conv_id, m.turn, m.role, m.call_id, m.name, m.content, c.turn AS call_turn, a.answer, l.level, m.size, to_json(m.text) AS quoted
+    FROM messages m LEFT JOIN calls c ON c.conv_id = m.conv_id AND c.call_id = m.call_id
+    LEFT JOIN answers a ON a.conv_id = m.conv_id AND a.call_id = m.call_id
+    LEFT JOIN levels l ON l.conv_id = m.conv_id AND l.call_id = m.call_id)
+SELECT conv_id, turn, call_id, name,
+    CASE WHEN name IS NOT NULL THEN CASE WHEN answer IS NULL THEN 'unanswered' ELSE 'answered' END
+        WHEN call_id IS NULL THEN 'plain' WHEN call_turn IS NULL THEN 'orphan' ELSE 'linked' END AS status,
+    CASE WHEN name IS NOT NULL THEN answer ELSE call_turn END AS linked_turn,
+    CASE WHEN call_id IS NULL OR (name IS NULL AND call_turn IS NULL) THEN 0 ELSE level END AS level,
+    CASE WHEN name IS NOT NULL THEN name <> 'unknown' AND size % 5 <> 0 END AS valid,
+    sha256(CASE WHEN name IS NOT NULL THEN
+            '{"arguments":{' || CASE name WHEN 'lookup' THEN '"exact":true,' WHEN 'search' THEN '"limit":' || CASE WHEN size % 5 = 0 THEN '"' || size || '"' ELSE CAST(size AS VARCHAR) END || ',' ELSE '' END
+            || '"text":' || coalesce(quoted, 'null')
+            || CASE name WHEN 'search' THEN '' WHEN 'unknown' THEN '' ELSE ',"words":' || CASE WHEN size % 5 = 0 THEN '"' || size || '"' ELSE CAST(size AS VARCHAR) END END
+            || '},"content":null,"id":"' || call_id || '","name":"' || name || '","role":"assistant"}'
+        WHEN call_id IS NOT NULL THEN '{"content":' || coalesce(quoted, 'null') || ',"role":"tool","tool_call_id":"' || call_id || '"}'
+        ELSE '{"content":' || coalesce(quoted, 'null') || ',"role":"' || role || '"}' END) AS json_sha256
+FROM described
+"""
+
+
+def conversation_calls(turns: DataFrame) -> DataFrame:
+    """Turns read as tool traffic: what the assistant says is a call, what the user says next its result.
+
+    The length of the text picks the tool, puts a wrong type into every fifth call, and lets every
+    third call need the result of the call before it.
+    """
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    call, answer = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("turn") > 0)
+    tool = F.element_at(F.array(*map(F.lit, ("lookup", "search", "summarise", "unknown"))), size % 4 + 1)
+    number = F.when(size % 5 == 0, F.concat(F.lit('"'), size, F.lit('"'))).otherwise(size.cast("string"))
+    quoted = F.coalesce(F.get_json_object(F.to_json(F.struct(F.array("text").alias("v"))), "$.v"), F.lit("[null]"))
+    text = F.concat(F.lit('"text":'), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    # written in another order than the canonical one
+    arguments = F.when(tool == "lookup", F.concat(F.lit('{"words": '), number, F.lit(", "), text, F.lit(', "exact": true}'))).when(
+        tool == "search", F.concat(F.lit("{"), text, F.lit(', "limit": '), number, F.lit("}"))).when(
+        tool == "summarise", F.concat(F.lit('{"words": '), number, F.lit(", "), text, F.lit("}"))).otherwise(
+        F.concat(F.lit("{"), text, F.lit("}")))
+    return turns.select(
+        "conv_id", "turn", F.when(answer, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(~call, F.col("text")).alias("content"),
+        F.when(call, F.concat(F.lit("call-"), "turn")).when(answer, F.concat(F.lit("call-"), F.col("turn") - 1)).alias("call_id"),
+        F.when(call, tool).alias("name"), F.when(call, arguments).alias("arguments"),
+        F.when(call & (size % 3 == 0), F.array(F.concat(F.lit("call-"), F.col("turn") - 2))).alias("refs"))
+
+
+@query(CALLS_SQL)
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as linked, checked and serialised tool calls."""
+    schemas = spark.sql("SELECT * FROM VALUES " + ", ".join(
+        f"('{n}', '{p}', '{t}', {str(r).lower()})" for n, p, t, r in TOOLS) + " AS t(name, param, type, required)")
+    done = tool_calls.format_calls(conversation_calls(table(spark, sf_dir, "conversations")), schemas)
+    return done.select("conv_id", "turn", "call_id", "name", "status", "linked_turn", "level", "valid",
+                       F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
 @query()
 def op9_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
