@@ -124,7 +124,7 @@ def _verify_sets(size: int, percent: int):
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD
 ) -> DataFrame:
-    """Per row of `docs`: doc_id, text_hash, n_shingles and component_id, the smallest doc_id reachable by links.
+    """Per row of `docs`: doc_id, text_hash, n_shingles, component and component_id, the smallest doc_id reachable by links.
 
     Links join rows whose sets have a similarity of `percent` or more; candidates come from shared
     table keys and are confirmed on full sets of 64-bit shingle hashes. Rows with equal sets are one
@@ -167,9 +167,31 @@ def near_duplicates(
     joined = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid"))
     smallest = joined.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    grouped = joined.select("set_high", "set_low", "root").join(smallest, "root").drop("root")
+    grouped = joined.select("set_high", "set_low", "root").join(smallest, "root").withColumnRenamed("root", "component")
     grouped = store(grouped, "components")
     linked = filled.select("doc_id", "text_hash", "n_shingles", "set_high", "set_low").join(
-        grouped, ["set_high", "set_low"]).select("doc_id", "text_hash", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+        grouped, ["set_high", "set_low"]).select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+    alone = signed.where("n_shingles = 0").select(
+        "doc_id", "text_hash", "n_shingles", F.col("rid").alias("component"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD) -> DataFrame:
+    """The documents without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Ties go by the hash of the text, and of equal rows one stays. Rows without words all stay. Columns
+    stay as they are.
+    """
+    found = store(near_duplicates(docs, shingle_words, percent), "near-duplicates")
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chosen = found.where((F.col("n_shingles") > 0) & mine).groupBy("component").agg(F.min("text_hash").alias("_hash"))
+    # how many rows of a component are the chosen one
+    winners = found.join(chosen, "component").where((F.col("text_hash") == F.col("_hash")) & mine).groupBy(
+        F.col("doc_id").alias("_doc"), "_hash").agg(F.count("*").alias("_times"))
+    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    stay = store(winners.unionByName(empty.withColumn("_times", F.lit(1).cast("long"))), "kept")
+    lookup = F.broadcast(stay) if stay.count() <= BROADCAST_ROWS else stay
+    keyed = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    joined = keyed.join(lookup, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
+    repeated = joined.where("_times > 1").dropDuplicates(["_id", "_text"])
+    return joined.where("_times = 1").unionByName(repeated).select(*docs.columns)
