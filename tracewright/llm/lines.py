@@ -138,6 +138,14 @@ def shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE_CHARS] for i in range(len(line) - SHINGLE_CHARS + 1)}
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in text_batches(batches, max_bytes=1 << 18):
+        sets = [[xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) for s in shingles(t)] for t in texts]
+        rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.record_batch([pa.array(rid), pa.array(np.concatenate([np.array(x, np.uint64) for x in sets]).view(np.int64))],
+                              ["rid", "token"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, leading = None, set()
     for batch in batches:
@@ -171,18 +179,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     keys = lines.select(F.col("high").alias("rid"), F.explode("keys").alias("key")).select("key", "rid")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = store(pairs.select("a").union(pairs.select("b")).distinct(), "wanted").toDF("rid")
+        texts = texts_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("rid"))
+        full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+        return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+
+    def texts_of(items: DataFrame) -> DataFrame:
+        wanted = store(items, "wanted")
         known = None
         if wanted.count() <= BROADCAST_ROWS:
             known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.toLocalIterator()))
         found = rows.select("text").mapInArrow(_lines_of(known), "rid long, text string")
         if known is None:
             found = found.join(wanted, "rid", "left_semi")
-        texts = store(found.groupBy("rid").agg(F.first("text").alias("text")), "texts")
-        full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+        return store(found.groupBy("rid").agg(F.first("text").alias("text")), "texts")
+
+    def sets(items: DataFrame) -> DataFrame:
+        return texts_of(items).mapInArrow(_tokens, "rid long, token long")
 
-    roots = group_similar(keys, verify)
+    roots = group_similar(keys, verify, sets, PERCENT)
     place = F.struct("doc_id", "text_hash", "line")
     classes = store(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-classes")
     # two lines with the same first half of the hash, which stands for a line above, are left alone

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import materialize, store
 
-PIVOTS = 16  # items of a bucket, about, that become pivots in one round
-ALL_PIVOTS = 64  # up to so many become pivots at once
-
 
 def _same(before: tuple, after: DataFrame) -> tuple[bool, tuple]:
     row = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -103,20 +100,45 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def group_similar(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def rare_token_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of items of different groups whose sets may have a similarity of `percent`.
+
+    `sets` has (rid, token), distinct; `groups` (node, root). In the order of rising frequency, two
+    sets that similar share one of their first n - ceil(percent * n / 100) + 1 tokens, so only those
+    are joined, and of these only tokens that another set has. In families of items that share a core
+    but are not similar enough the first tokens are each item's own, which leaves few pairs.
+    """
+    sets = store(sets, "sets")
+    times = sets.groupBy("token").agg(F.count("*").alias("_times"))
+    first = sets.join(times, "token").groupBy("rid").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("_times") == 1).alias("_own"),
+        F.sort_array(F.collect_list(F.when(F.col("_times") > 1, F.struct("_times", "token")))).alias("_shared"))
+    length = F.col("_n") - F.floor((F.col("_n") * percent + 99) / 100) + 1 - F.col("_own")
+    prefix = first.where(length > 0).select(
+        "rid", F.explode(F.slice("_shared", F.lit(1), length.cast("int"))["token"]).alias("token"))
+    prefix = store(prefix.join(_small(groups).withColumnRenamed("node", "rid"), "rid", "left").select(
+        "token", "rid", F.coalesce("root", "rid").alias("root")), "prefixes")
+    other = prefix.select("token", F.col("rid").alias("_o"), F.col("root").alias("_ro"))
+    return prefix.join(other, "token").where("root < _ro").select(
+        F.least("rid", "_o").alias("a"), F.greatest("rid", "_o").alias("b")).distinct()
+
+
+def group_similar(
+    keys: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int
+) -> DataFrame:
     """Items that share a key and pass verification, directly or over others: (node, root).
 
-    `keys` has (key, rid); `verify` takes pairs (a, b) with a < b and returns those that are linked.
-    Every pair that shares a key is verified unless it is already known to be in one group:
+    `keys` has (key, rid); `verify` takes pairs (a, b) with a < b and returns those that are linked;
+    `sets` takes items (rid) and returns the tokens (rid, token) of their sets, which are linked from a
+    similarity of `percent` on. A link between items that share a key is never left out:
 
     1. In every bucket the smallest item leads; each item is verified against the leader it shares
        most keys with, then against its other leaders if they are still in another group.
-    2. Buckets that still hold several groups: items outside the leader's group become pivots, all at
-       once if they are few and some at a time if they are many, and are verified against all members
-       of other groups that were not verified before, until every such item has been a pivot.
+    2. The members of buckets that still hold several groups are joined on their rarest tokens, and
+       all pairs of different groups that this leaves are verified.
 
-    So candidates grow with the members of a bucket, not with its pairs, as long as its items are
-    similar. Items without a link are not returned.
+    So candidates grow with the members of a bucket, not with its pairs. Items without a link are not
+    returned.
     """
     members = share_keys(keys)
     stars = store(members.where("rid != leader").groupBy(F.col("leader").alias("a"), F.col("rid").alias("b")).agg(
@@ -146,20 +168,13 @@ def group_similar(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
             roots = store(connected_components(links), "roots")
 
     grow(stars.select("a", "b"))
-    pivoted = None
-    while True:
-        apart = with_roots(stars.select("a", "b")).select(F.col("a").alias("leader"), F.col("b").alias("rid"))
-        strays = members.join(_small(store(apart, "apart")), ["leader", "rid"], "left_semi").select("key", "rid").distinct()
-        if pivoted is not None:
-            strays = strays.join(pivoted, ["key", "rid"], "left_anti")
-        strays = store(strays, "strays")
-        if strays.isEmpty():
-            return roots
-        counts = strays.groupBy("key").agg(F.count("*").alias("_strays"))
-        pivots = store(strays.join(counts, "key").where(
-            (F.col("_strays") <= ALL_PIVOTS) | (F.pmod(F.xxhash64("rid", "_strays"), F.col("_strays")) < PIVOTS)
-        ).select("key", "rid"), "pivots")
-        pairs = pivots.join(members.select("key", F.col("rid").alias("_o")), "key").where("rid != _o").select(
-            F.least("rid", "_o").alias("a"), F.greatest("rid", "_o").alias("b")).distinct()
-        pivoted = pivots if pivoted is None else pivoted.unionByName(pivots)
-        grow(pairs)
+    apart = store(with_roots(stars.select("a", "b")).select(F.col("a").alias("leader"), F.col("b").alias("rid")), "apart")
+    if apart.isEmpty():
+        return roots
+    # a pair of two items needs no other search: it was verified as leader and member
+    sizes = members.groupBy("key").agg(F.count_distinct("rid").alias("_n")).where("_n > 2").select("key")
+    open_keys = members.join(_small(apart), ["leader", "rid"], "left_semi").select("key").distinct().join(sizes, "key", "left_semi")
+    open_items = members.join(_small(store(open_keys, "open")), "key", "left_semi")
+    items = store(open_items.select("rid").union(open_items.select("leader")).distinct(), "open-items")
+    grow(rare_token_pairs(sets(items), roots, percent))
+    return roots

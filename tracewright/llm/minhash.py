@@ -121,6 +121,16 @@ def _verify_sets(size: int, percent: int):
     return run
 
 
+def _tokens(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches):
+            sets = [shingle_set(t, size) for t in texts]
+            rid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.record_batch([pa.array(rid), pa.array(np.concatenate(sets).view(np.int64))], ["rid", "token"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD
 ) -> DataFrame:
@@ -148,22 +158,27 @@ def near_duplicates(
     keyed = keyed.select("rid", "right", F.explode("left").alias("one"))
     keys = keyed.select("rid", "one", F.explode("right").alias("two")).select(F.xxhash64("one", "two").alias("key"), "rid")
 
+    def texts_of(items: DataFrame) -> DataFrame:
+        places = store(named.join(items, "rid", "left_semi").select("rid", "doc_id", "text_hash"), "wanted")
+        lookup = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+        found = rows.alias("r").join(
+            lookup.alias("p"), F.expr("r.doc_id <=> p.doc_id and r.text_hash = p.text_hash")).select("p.rid", "r.text")
+        return store(found.groupBy("rid").agg(F.first("text").alias("text")), "texts")
+
+    def sets(items: DataFrame) -> DataFrame:
+        return texts_of(items).mapInArrow(_tokens(shingle_words), "rid long, token long")
+
     def verify(pairs: DataFrame) -> DataFrame:
         sizes = named.select("rid", "n_shingles")
         sized = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b").where(
             100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b")
         sized = store(sized, "sized")
-        wanted = sized.select("a").union(sized.select("b")).distinct()
-        places = store(named.join(wanted.toDF("rid"), "rid", "left_semi").select("rid", "doc_id", "text_hash"), "wanted")
-        lookup = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        found = rows.alias("r").join(
-            lookup.alias("p"), F.expr("r.doc_id <=> p.doc_id and r.text_hash = p.text_hash")).select("p.rid", "r.text")
-        texts = store(found.groupBy("rid").agg(F.first("text").alias("text")), "texts")
+        texts = texts_of(sized.select("a").union(sized.select("b")).distinct().toDF("rid"))
         full = sized.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(
             _verify_sets(shingle_words, percent), "a long, b long")
 
-    roots = group_similar(keys, verify)
+    roots = group_similar(keys, verify, sets, percent)
     joined = classes.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid"))
     smallest = joined.groupBy("root").agg(F.min("min_doc").alias("component_id"))
