@@ -343,3 +343,39 @@ def test_report_yields_tables_that_can_be_saved(spark, make_cases, tmp_path):
     rows = {name: load_log(spark, path).count() for name, path in paths.items()}
     assert rows == {"cases": 3, "workflow_share": 2, "workflow_categories": 3, "workflow_durations": 2,
                     "workflow_category_matrix": 3, "bin_width": 1, "category_timeline": 3}
+
+
+def test_events_without_activity_count_like_any_other(make_log):
+    log = make_log((1, "A", 0, 1), (1, None, 2, 3), (1, "_START_", 4, 5))
+    got = {r["activity"]: r["n"] for r in activity.activity_frequency(log).collect()}
+    assert got == {"A": 1, None: 1}
+
+
+def test_events_without_case_are_in_no_case(spark, make_log):
+    log = make_log((1, "A", 0, 1)).unionByName(make_log((2, "A", 0, 1)).selectExpr(
+        "cast(null as string) as trace", "activity", "timestamp", "timestampf", "event_seq"))
+    assert sequence.case_count(log).first()["n_cases"] == 1
+    assert sum(r["n"] for r in variants.variants(log).collect()) == 1
+
+
+def test_means_of_sums_beyond_a_bigint(make_log):
+    far = 2**62
+    log = make_log((1, "A", 0, far), (1, "A", 0, far), (2, "A", 0, far))
+    row = activity.activity_averages(log).select("mean", "max", "deviation").first()
+    assert (row["mean"], row["max"], row["deviation"]) == (far, far, 0.0)
+
+
+def test_times_that_can_not_be_read_are_told(spark):
+    raw = spark.createDataFrame(
+        [("1", "A", "2020/01/01 00:00:00", "-"), ("2", "B", "2020/01/01 00:00:00", "2020/01/01 00:00:01")],
+        "c string, a string, s string, e string")
+    spec = LogSpec(trace="c", activity="a", start="s", complete="e")
+    assert [r["timestampf"] is None for r in cleaning.standardize(raw, spec).orderBy("trace").collect()] == [True, False]
+    assert [r["c"] for r in cleaning.rejected(raw, spec).collect()] == ["1"]
+
+
+def test_files_with_another_order_of_columns_are_not_mixed_up(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_log(spark, str(tmp_path)).collect()

@@ -20,15 +20,17 @@ def duration_summary(value: str) -> list[Column]:
 
     The deviation is taken around the truncated mean: the variance around the true mean plus the
     square of how far the two means lie apart. That needs one pass and no squares of big integers.
+    Sums are decimals, so that only a total beyond a bigint can not be told.
     """
-    exact = F.sum(value) / F.count(value)
-    truncated = F.expr(f"sum({value}) div count({value})")
+    total = F.sum(F.col(value).cast("decimal(38,0)"))
+    exact = total.cast("double") / F.count(value)
+    truncated = F.expr(f"sum(cast({value} as decimal(38,0))) div count({value})")
     return [
         truncated.alias("mean"),
         F.max(value).alias("max"),
         F.min(value).alias("min"),
         F.sqrt(F.var_pop(value) + F.pow(exact - truncated, 2)).alias("deviation"),
-        F.sum(value).alias("total"),
+        total.cast("long").alias("total"),
     ]
 
 

@@ -19,12 +19,13 @@ def standardize(df: DataFrame, spec: LogSpec) -> DataFrame:
     """Bring the paired columns to the standard names and types; all others are kept as they are.
 
     Without a sequence column, events of a case with the same start get a fixed order from their
-    complete time and activity, so that it does not depend on how the input was split.
+    complete time and activity, so that it does not depend on how the input was split. A time that
+    does not follow the pattern is null; `rejected` returns the rows that have one.
     """
     roles = {spec.trace, spec.activity, spec.start, spec.complete, spec.sequence}
 
     def millis(column: str) -> Column:
-        return F.unix_millis(F.to_timestamp(F.col(f"`{column}`"), spec.pattern))
+        return F.unix_millis(_time(df, column, spec))
 
     standard = df.select(
         F.col(f"`{spec.trace}`").cast("string").alias(TRACE),
@@ -39,6 +40,19 @@ def standardize(df: DataFrame, spec: LogSpec) -> DataFrame:
     return standard.withColumn(SEQ, F.shiftright(F.xxhash64(COMPLETE, ACTIVITY), 1))
 
 
+def _time(df: DataFrame, column: str, spec: LogSpec) -> Column:
+    cell = F.col(f"`{column}`")
+    if dict(df.dtypes)[column] == "string":
+        return F.try_to_timestamp(cell, F.lit(spec.pattern))
+    return F.to_timestamp(cell, spec.pattern)
+
+
+def rejected(df: DataFrame, spec: LogSpec) -> DataFrame:
+    """The rows that `standardize` can not read a time of, as they are, to be counted or looked at."""
+    bad = [F.col(f"`{c}`").isNotNull() & _time(df, c, spec).isNull() for c in (spec.start, spec.complete)]
+    return df.where(bad[0] | bad[1])
+
+
 def fill_empty(df: DataFrame, token: str = EMPTY) -> DataFrame:
     """Put the token into every empty or missing text cell."""
     text = {name for name, kind in df.dtypes if kind == "string"}
@@ -93,8 +107,8 @@ def order_log(df: DataFrame) -> DataFrame:
 
 
 def drop_dummies(df: DataFrame) -> DataFrame:
-    """Leave out the synthetic first and last activities."""
-    return df.where(~F.col(ACTIVITY).isin(START_TASK, END_TASK))
+    """Leave out the synthetic first and last activities. Events without an activity stay."""
+    return df.where(~F.coalesce(F.col(ACTIVITY).isin(START_TASK, END_TASK), F.lit(False)))
 
 
 def sample_time(df: DataFrame, column: str) -> DataFrame:

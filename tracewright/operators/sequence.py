@@ -105,11 +105,11 @@ def extent_columns() -> list[Column]:
 
 
 def case_extents_by_order(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """First and last time per case.
+    """First and last time per case. Events without a case id are in no case.
 
-    Events are combined before the shuffle, so a very large case costs no more than others.
+    Other events are combined before the shuffle, so a very large case costs no more than others.
     """
-    return events.groupBy(*keys, TRACE).agg(*extent_columns())
+    return events.where(F.col(TRACE).isNotNull()).groupBy(*keys, TRACE).agg(*extent_columns())
 
 
 def traces(
@@ -148,6 +148,6 @@ def segment_of(segment_events: int) -> Column:
 
 
 def case_count(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Number of cases as `n_cases`."""
-    cases = events.select(*keys, TRACE).distinct()
+    """Number of cases as `n_cases`. Events without a case id are in no case, here as in variants."""
+    cases = events.where(F.col(TRACE).isNotNull()).select(*keys, TRACE).distinct()
     return (cases.groupBy(*keys) if keys else cases).agg(F.count("*").alias("n_cases"))

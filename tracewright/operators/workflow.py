@@ -17,7 +17,7 @@ WANTED_BINS = 30
 def case_completion_extents(events: DataFrame, workflow: str, category: str) -> DataFrame:
     """Per case: smallest and largest complete time, and workflow and category of its first event."""
     return (
-        events.groupBy(TRACE)
+        events.where(F.col(TRACE).isNotNull()).groupBy(TRACE)
         .agg(F.min(COMPLETE).alias("first_complete"), F.max(COMPLETE).alias("last_complete"),
              F.min_by(F.struct(F.col(workflow).alias("workflow"), F.col(category).alias("category")),
                       F.struct(*ORDER)).alias("_of"))
@@ -45,7 +45,7 @@ def workflow_durations(extents: DataFrame) -> DataFrame:
     """Min, mean and max time from first to last completion per workflow."""
     span = F.col("last_complete") - F.col("first_complete")
     return extents.groupBy("workflow").agg(
-        F.count("*").alias("n"), F.min(span).alias("min"), (F.sum(span) / F.count("*")).alias("mean"),
+        F.count("*").alias("n"), F.min(span).alias("min"), (F.sum(span.cast("decimal(38,0)")).cast("double") / F.count("*")).alias("mean"),
         F.max(span).alias("max"))
 
 

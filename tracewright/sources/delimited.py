@@ -20,8 +20,9 @@ EXPORT_PATTERN = "yyyy MM dd HH:mm:ss"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    # every file carries the header; all columns are text, so no pass over the data for a schema
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=False)
+    # every file carries the header; all columns are text, so no pass over the data for a schema.
+    # A file whose header has another order or other names ends the job instead of swapping columns
+    return spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, escape='"', multiLine=False)
 
 
 def read_csv_log(
