@@ -3,7 +3,7 @@
 Lines are compared in lower case with single spaces. Their character shingles are hashed once and
 dealt into BINS bins by the hash (MinHash of one permutation); the least hash of each bin is the
 signature, an empty bin borrows from the next. BANDS bands of ROWS values are the keys under which
-candidates meet; two lines of similarity 0.8 share one with probability 0.9998. Candidates are verified
+candidates meet; two lines of similarity 0.8 share one with probability 0.9996. Candidates are verified
 on their full shingle sets, linked lines make components, and one line of each component stays.
 """
 
@@ -24,7 +24,7 @@ from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import store
 
 SHINGLE_CHARS = 7
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 5
 BINS = BANDS * ROWS
 BLOCK_CHARS = 1 << 18  # hashed at a time
 MIN_CHARS = 32  # shorter lines are never removed
@@ -66,7 +66,9 @@ def signatures(lines: list[str]) -> np.ndarray:
         part = np.repeat(np.arange(len(parts)), sizes)[: len(sums)]
         # a shingle does not reach into the next part
         inside = np.arange(len(sums)) + SHINGLE_CHARS <= np.cumsum(sizes)[part]
-        bins = (np.array(owners)[part] * BINS + (sums >> np.uint64(58)).astype(np.int64))[inside]
+        # the upper half of a hash picks its bin
+        bin_of = ((sums >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+        bins = (np.array(owners)[part] * BINS + bin_of)[inside]
         np.minimum.at(lowest, bins, sums[inside])
     lowest = lowest.reshape(-1, BINS)
     for shift in range(1, BINS):
