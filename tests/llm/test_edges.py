@@ -186,8 +186,8 @@ def test_language(odd, none, make_docs):
 
 
 def test_words_come_before_grams():
-    tables = [{"the": np.array([-1.0, -9.0], np.float32)}, {"t": np.array([-9.0, -1.0], np.float32)}, {}, {}, {}, {}]
-    model = language.Model(["a", "b"], tables)
+    index = [{"the": 0}, {"t": 0}, {}, {}, {}, {}]
+    model = language.Model(["a", "b"], index, [np.array([[-1.0, -9.0]]), np.array([[-9.0, -1.0]]), *[np.zeros((0, 2))] * 4])
     assert model.predict("the")[0] == "a"
     assert model.predict("tttt")[0] == "b"
     assert model.predict("???") == ("und", 0.0)

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ LONGEST = 5  # characters of the longest n-gram
 SMOOTHING = 0.1
 SURE_WORDS = 10.0  # so many words count as independent evidence at most, for the score
 _WORD = re.compile(r"[^\W\d_]+")
-_NEW_WORDS = 200_000  # unseen words whose scores a Python worker remembers
-_FLUSH = 300_000
+_NEW_WORDS = 50_000  # unseen words whose scores a Python worker remembers
+_FLUSH = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -46,37 +47,39 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language: `tables[0]` of words, `tables[n]` of n-grams of n characters."""
+    """Log frequencies by language: part 0 is of words, part n of n-grams of n characters.
+
+    A part is an index of its words or n-grams and a row of `logs` for each.
+    """
 
     languages: list[str]
-    tables: list[dict[str, np.ndarray]]
+    index: list[dict[str, int]]
+    logs: list[np.ndarray]
 
     def __post_init__(self) -> None:
         self._new: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
-        return self.languages, self.tables
+        return self.languages, self.index, self.logs
 
     def __setstate__(self, state):
-        self.languages, self.tables = state
+        self.languages, self.index, self.logs = state
         self._new = {}
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is None:
-            known = self._new.get(word)
-        if known is None:
+    def unseen(self, word: str) -> np.ndarray:
+        """The scores of a word by its n-grams: of the greatest length of which some are known."""
+        found = self._new.get(word)
+        if found is None:
             if len(self._new) >= _NEW_WORDS:
                 self._new.clear()
-            known = self._new[word] = self._by_grams(word)
-        return known
-
-    def _by_grams(self, word: str) -> np.ndarray:
-        for n in range(LONGEST, 0, -1):
-            found = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            found = np.zeros(len(self.languages))
+            for n in range(LONGEST, 0, -1):
+                rows = [r for g in grams_of(word, n) if (r := self.index[n].get(g)) is not None]
+                if rows:
+                    found = self.logs[n][rows].mean(axis=0)
+                    break
+            self._new[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of belief; ties go to the first name."""
@@ -84,9 +87,14 @@ class Model:
         if not self.languages or not words or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
         counts = np.fromiter(words.values(), np.float64, len(words))
-        total = counts @ np.array([self.word(w) for w in words], np.float64)
-        size = counts.sum()
-        belief = np.exp((total - total.max()) * min(1.0, SURE_WORDS / size))
+        rows = np.fromiter(map(self.index[0].get, words, repeat(-1)), np.int64, len(words))
+        known = rows >= 0
+        total = counts[known] @ self.logs[0][rows[known]]
+        if not known.all():
+            for word, times, seen in zip(words, counts, known, strict=True):
+                if not seen:
+                    total = total + times * self.unseen(word)
+        belief = np.exp((total - total.max()) * min(1.0, SURE_WORDS / counts.sum()))
         best = int(total.argmax())
         return self.languages[best], float(belief[best] / belief.sum())
 
@@ -156,19 +164,24 @@ def train(sample: DataFrame, entries: int = ENTRIES) -> Model:
             least[key] = count
     languages = sorted({lang for lang, _ in tiers})
     if not languages:
-        return Model([], [{} for _ in range(LONGEST + 1)])
+        return Model([], [], [])
     floor = sample.sparkSession.createDataFrame([(a, n, c) for (a, n), c in least.items()], "lang string, n int, _least long")
     kept = counts.join(F.broadcast(floor), ["lang", "n"]).where(F.col("count") >= F.col("_least")).drop("_least")
     place = {lang: i for i, lang in enumerate(languages)}
-    raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    cells: list[list[tuple[int, int, int]]] = [[] for _ in range(LONGEST + 1)]
     for row in kept.toLocalIterator():
-        raw[row["n"]].setdefault(row["gram"], np.zeros(len(languages), np.float32))[place[row["lang"]]] = row["count"]
-    tables = []
-    for n, table in enumerate(raw):
+        part = index[row["n"]]
+        cells[row["n"]].append((part.setdefault(row["gram"], len(part)), place[row["lang"]], row["count"]))
+    logs = []
+    for n, found in enumerate(cells):
+        counted = np.zeros((len(index[n]), len(languages)))
+        if found:
+            at, lang, count = np.array(found).T
+            counted[at, lang] = count
         sizes = np.array([totals.get((lang, n), 0) for lang in languages], np.float64)
-        base = np.log(sizes + SMOOTHING * (len(table) + 1))
-        tables.append({g: (np.log(c + SMOOTHING) - base).astype(np.float32) for g, c in table.items()})
-    return Model(languages, tables)
+        logs.append((np.log(counted + SMOOTHING) - np.log(sizes + SMOOTHING * (len(counted) + 1))).astype(np.float32))
+    return Model(languages, index, logs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
