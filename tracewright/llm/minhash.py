@@ -25,7 +25,7 @@ MEMBERS, HALF = 11, 3
 SHINGLE_WORDS = 5
 THRESHOLD = 80  # percent
 _SLICE = 1 << 15  # shingles hashed at a time
-_WORDS_KNOWN = 1_000_000
+_WORDS_KNOWN = 250_000
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 1 << 63, 2 * MEMBERS * HALF, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
