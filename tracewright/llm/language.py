@@ -121,7 +121,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, n), grams in counts.items():
             yield pa.record_batch(
-                [pa.array([lang] * len(grams)), pa.array([n] * len(grams), pa.int32()), pa.array(list(grams)),
+                [pa.array([lang] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array(list(grams), pa.string()),
                  pa.array(list(grams.values()), pa.int64())], ["lang", "n", "gram", "count"])
         counts.clear()
 
