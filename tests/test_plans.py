@@ -7,6 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import catalog
+from tracewright.catalog import logs
 from tracewright.operators import activity, arcs, branches, cases, cleaning, model, sequence, variants
 from tracewright.sources import load_log
 
@@ -67,3 +69,17 @@ def test_all_branches_are_one_scan_and_one_aggregation(stored):
 def test_nothing_is_collected_into_a_single_partition_but_aggregates(stored):
     for op in (sequence.traces, variants.variants, arcs.directly_follows, model.dependency_graph):
         assert "SinglePartition" not in plan(op(stored))
+
+
+def test_map_only_queries_compute_nothing_ahead(spark, sf_dir):
+    tracker = spark.sparkContext.statusTracker()
+    queries = catalog.queries()
+    for name in ("filter_interval", "activity_relative_frequency", "case_count", "case_durations"):
+        before = len(tracker.getJobIdsForGroup(None))
+        queries[name](spark, sf_dir)
+        # reading the columns of a Parquet file is a job of one task
+        assert len(tracker.getJobIdsForGroup(None)) - before <= 1
+
+
+def test_a_log_is_sliced_once_for_all_queries(spark, sf_dir):
+    assert logs.daily(spark, sf_dir) is logs.daily(spark, sf_dir)

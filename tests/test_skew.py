@@ -32,11 +32,33 @@ def skewed(spark, whole):
 
 @pytest.fixture(scope="module")
 def sliced(skewed):
-    return skew.split_hot_cases(skewed, min_events=50).cache()
+    return skew.split_hot_cases(skewed.drop(PART), min_events=50).cache()
 
 
-def test_small_log_is_left_alone(whole):
-    assert PART not in skew.split_hot_cases(whole).columns
+def test_the_columns_do_not_depend_on_the_size(whole):
+    log = whole.drop(PART)
+    few, many = skew.split_hot_cases(log), skew.split_hot_cases(log, min_events=5)
+    assert few.dtypes == many.dtypes == [*log.dtypes, (PART, "int")]
+    assert few.where(F.col(PART).isNotNull()).isEmpty() and skew.sliced(few) == [] and skew.sliced(many) == [PART]
+    for op in (sequence.collapse_runs, sequence.prepare, sequence.sequence, sequence.traces, variants.variants):
+        assert op(few).dtypes == op(many).dtypes
+
+
+def test_more_large_cases_than_a_list_of_frequent_ones_holds(spark):
+    log = spark.range(15_000).select(
+        (F.col("id") % 1500).cast("string").alias("trace"), F.lit("a").alias("activity"),
+        F.col("id").alias("timestamp"), F.col("id").alias("timestampf"), F.col("id").alias("event_seq"))
+    cut = skew.split_hot_cases(log, min_events=9)
+    assert cut.where(F.col(PART).isNull()).isEmpty() and cut.count() == 15_000
+    same(sequence.sequence(log), sequence.sequence(cut))
+
+
+def test_events_without_a_case_are_sliced_like_a_case(whole):
+    log = whole.drop(PART).withColumn("trace", F.when(F.col("event_seq") % 2 == 0, F.col("trace")))
+    cut = skew.split_hot_cases(log, min_events=100)
+    assert cut.where(f"trace is null and {PART} is null").isEmpty()
+    for op in (sequence.sequence, sequence.collapse_runs, sequence.traces, variants.variants, sequence.case_count):
+        same(op(log), op(cut))
 
 
 def test_only_the_hot_case_is_sliced_and_evenly(sliced):
@@ -124,3 +146,16 @@ def test_mining_a_sliced_log_gives_the_same_tables(skewed, sliced):
     plain, cut = mine(skewed, group=True, threshold=0.05), mine(sliced, group=True, threshold=0.05)
     for name in ("events", "edges", "case_arcs", "variant_arcs", "longest_shortest_case", "longest_shortest_case_arcs"):
         same(plain[name], cut[name])
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), (None, 9), ("a", 4)], "k string, v long")
+    assert {(r["k"], r["median"]) for r in medians(df, ["k"], "v").collect()} == {(None, 3), ("a", 4)}
+
+
+def test_events_without_an_activity_have_durations(spark):
+    log = spark.createDataFrame(
+        [("c", None, 0, 10, 0), ("c", None, 10, 40, 1), ("c", "a", 40, 45, 2)],
+        "trace string, activity string, timestamp long, timestampf long, event_seq long")
+    rows = {r["activity"]: (r["total"], r["median"]) for r in activity.activity_durations(log).collect()}
+    assert rows == {None: (40, 20), "a": (5, 5)}

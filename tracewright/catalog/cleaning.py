@@ -34,7 +34,7 @@ def read_csv_log_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes and accents in cells, an empty column and one not asked for."""
     path = new_path(spark, "csv")
     task = F.concat(F.upper(ACTIVITY), F.lit(' -> "'), F.col(ACTIVITY), F.lit('"'))
-    _as_text(daily(spark, sf_dir)).select(
+    _as_text(daily(spark, sf_dir, windows=False)).select(
         F.col(TRACE).alias("case"), task.alias("task"), "began", F.lit("x").alias("other")
     ).write.csv(path, header=True, escape='"')
     return read_csv_log(spark, path, ["case", "task", "began"])
@@ -54,7 +54,7 @@ def read_csv_log_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(DAILY) + f"SELECT {EVENT_SQL} FROM ev")
 def read_typed_log_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "typed")
-    daily(spark, sf_dir).select(*EVENT_COLUMNS).write.csv(path, header=True, escape='"')
+    daily(spark, sf_dir, windows=False).select(*EVENT_COLUMNS).write.csv(path, header=True, escape='"')
     return read_typed_log(spark, path)
 
 
@@ -79,7 +79,7 @@ def read_xes_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(DAILY) + f"SELECT {EVENT_SQL} FROM ev WHERE activity = 'click'")
 def load_log_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "log")
-    daily(spark, sf_dir).write.parquet(path)
+    daily(spark, sf_dir, windows=False).write.parquet(path)
     return load_log(spark, path).where(F.col(ACTIVITY) == "click").select(*EVENT_COLUMNS)
 
 
@@ -98,20 +98,20 @@ strftime(make_timestamp(ts*1000), '%Y %m %d %H:%M:%S') AS "InitialTime",
 strftime(make_timestamp(tf*1000), '%Y %m %d %H:%M:%S') AS "CompleteTime" FROM ev""")
 def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "export")
-    export_csv(daily(spark, sf_dir), path)
+    export_csv(daily(spark, sf_dir, windows=False), path)
     return spark.read.csv(path, header=True)
 
 
 @query(with_(DAILY) + """SELECT trace AS "CaseIdentifier", activity AS "TaskIdentifier" FROM ev""")
 def export_csv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "export")
-    export_csv(daily(spark, sf_dir), path, times=False)
+    export_csv(daily(spark, sf_dir, windows=False), path, times=False)
     return spark.read.csv(path, header=True)
 
 
 @query(with_(DAILY) + """SELECT trace, activity, ts//1000*1000 AS "timestamp", tf//1000*1000 AS timestampf FROM ev""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.standardize(_as_text(daily(spark, sf_dir)), CHECKED).select(*EVENT_COLUMNS)
+    return C.standardize(_as_text(daily(spark, sf_dir, windows=False)), CHECKED).select(*EVENT_COLUMNS)
 
 
 @query("""SELECT doc_id, translate(regexp_replace(strip_accents(text), '[ =>?¿:().]', '', 'g'), '-', '_') AS name
@@ -186,7 +186,7 @@ WHERE workflow IN ('BUILDING', 'MACHINERY') AND activity = 'click'""")
 def filter_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = LogSpec("id", "kind", "began", "ended")
     return C.filter_attributes(
-        tagged(spark, sf_dir), {"workflow": ["BUILDING", "MACHINERY"], "kind": ["click"]}, spec
+        tagged(spark, sf_dir, windows=False), {"workflow": ["BUILDING", "MACHINERY"], "kind": ["click"]}, spec
     ).select(*EVENT_COLUMNS, "workflow", "category")
 
 
@@ -195,12 +195,12 @@ FIRST, LAST = 1_704_500_000_000, 1_705_500_000_000
 
 @query(with_(DAILY) + f"SELECT {EVENT_SQL} FROM ev WHERE ts BETWEEN {FIRST} AND {LAST}")
 def filter_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.filter_interval(daily(spark, sf_dir), FIRST, LAST).select(*EVENT_COLUMNS)
+    return C.filter_interval(daily(spark, sf_dir, windows=False), FIRST, LAST).select(*EVENT_COLUMNS)
 
 
 @query(with_(DAILY) + f"SELECT {EVENT_SQL} FROM ev ORDER BY trace, tf, seq")
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.order_log(daily(spark, sf_dir)).select(*EVENT_COLUMNS)
+    return C.order_log(daily(spark, sf_dir, windows=False)).select(*EVENT_COLUMNS)
 
 
 @query(with_(DAILY) + f"SELECT {EVENT_SQL} FROM ev")
@@ -210,7 +210,7 @@ def drop_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(strftime(ts, '%Y/%m/%d %H:%M:%S')) AS sample FROM events")
 def sample_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sample_time(_as_text(daily(spark, sf_dir)), "began")
+    return C.sample_time(_as_text(daily(spark, sf_dir, windows=False)), "began")
 
 
 BRANCHES = [
@@ -228,17 +228,17 @@ _SLICES = """sl AS (SELECT *, '0' AS branch_id, NULL AS parent_id, 0 AS level, '
 @query(with_(TAGGED, _SLICES) + "SELECT DISTINCT branch_id, parent_id, level, label, filter FROM sl")
 def expand_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     conditions = F.transform(F.map_entries("filter"), lambda e: F.concat_ws("=", e["key"], F.concat_ws("|", e["value"])))
-    return B.expand_branches(BRANCHES, tagged(spark, sf_dir)).withColumn("filter", F.concat_ws(";", conditions))
+    return B.expand_branches(BRANCHES, tagged(spark, sf_dir, windows=False)).withColumn("filter", F.concat_ws(";", conditions))
 
 
 @query(with_(TAGGED, _SLICES) + "SELECT branch_id, activity, count(*) AS n FROM sl GROUP BY ALL")
 def run_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.run_branches(tagged(spark, sf_dir), BRANCHES, activity_frequency)
+    return B.run_branches(tagged(spark, sf_dir, windows=False), BRANCHES, activity_frequency)
 
 
 @query(with_(TAGGED, _SLICES) + """SELECT branch_id, activity, count(*) AS n FROM sl
 WHERE branch_id LIKE '1.2%' OR branch_id = '2.1' GROUP BY ALL""")
 def run_branches_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.run_branches(tagged(spark, sf_dir), BRANCHES, activity_frequency, only_leaves=True)
+    return B.run_branches(tagged(spark, sf_dir, windows=False), BRANCHES, activity_frequency, only_leaves=True)
 
 

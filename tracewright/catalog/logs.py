@@ -36,8 +36,21 @@ def _user_and_day() -> F.Column:
     return F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_hot_cases(_events(spark, sf_dir, _user_and_day()))
+#: Logs with slices, by session, name and input files: a log is counted and sliced once for all queries.
+_SLICED: dict[tuple, DataFrame] = {}
+
+
+def _for_windows(name: str, log: DataFrame) -> DataFrame:
+    key = (log.sparkSession.sparkContext.applicationId, name, *sorted(log.inputFiles()))
+    if key not in _SLICED:
+        _SLICED[key] = split_hot_cases(log)
+    return _SLICED[key]
+
+
+def daily(spark: SparkSession, sf_dir: str, windows: bool = True) -> DataFrame:
+    """`windows` asks for slices of very large cases; without it nothing is computed ahead."""
+    log = _events(spark, sf_dir, _user_and_day())
+    return _for_windows("daily", log) if windows else log
 
 
 def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,19 +58,19 @@ def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_hot_cases(_events(spark, sf_dir, F.col("user_id").cast("string")))
+    return _for_windows("by_user", _events(spark, sf_dir, F.col("user_id").cast("string")))
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tagged(spark: SparkSession, sf_dir: str, windows: bool = True) -> DataFrame:
     users = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("workflow"),
         F.col("c_nationkey").cast("string").alias("category"))
-    log = split_hot_cases(_events(spark, sf_dir, _user_and_day(), "user_id"))
-    return join_dimension(log, users, "user_id").drop("user_id")
+    log = _events(spark, sf_dir, _user_and_day(), "user_id")
+    return join_dimension(_for_windows("tagged", log) if windows else log, users, "user_id").drop("user_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_hot_cases(table(spark, sf_dir, "conversations").select(
+    return _for_windows("conversations", table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias(TRACE), F.col("role").alias(ACTIVITY),
         (F.col("turn") * 1000).alias(START), ((F.col("turn") + 1) * 1000).alias(COMPLETE),
         F.col("turn").alias(SEQ)))

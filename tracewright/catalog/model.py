@@ -22,6 +22,8 @@ from tracewright.operators import arcs as R
 from tracewright.operators import loops as L
 from tracewright.operators import model as M
 from tracewright.operators import patterns as P
+from tracewright.operators.activity import activity_frequency
+from tracewright.operators.buckets import bucket_equal_width
 from tracewright.operators.cases import longest_shortest_case
 from tracewright.operators.sequence import case_count
 from tracewright.operators.variants import top_variants
@@ -187,10 +189,10 @@ def dependency_graph_conversations(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(M.dependency_graph(conversations(spark, sf_dir)), "dependency")
 
 
-@query(with_(DAILY, PADDED, model()) + "SELECT src, dst, f AS frequency, round(d, 6) AS dependency, round(l2, 6) AS two_step FROM dep WHERE src <> dst")
+@query(with_(DAILY, PADDED, model()) + "SELECT src, dst, f AS frequency, round(d, 6) AS dependency, round(l2, 6) AS two_step FROM dep")
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs with their measures; the two-step measure only exists between two activities."""
-    pairs = M.dependencies(daily(spark, sf_dir)).where("src <> dst")
+    """All pairs with their measures; the two-step measure of an activity with itself is 0."""
+    pairs = M.dependencies(daily(spark, sf_dir))
     return rounded(rounded(pairs, "dependency"), "two_step")
 
 
@@ -305,6 +307,31 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
         "src", "dst", "frequency", "in_pattern")
 
 
+@query(with_(*DEFAULT_ARCS, _LIMITS.format(THRESHOLD), FREQUENT,
+             """pt AS (SELECT threshold, mask, string_agg(src || '->' || dst, ',' ORDER BY src, dst) AS pattern
+  FROM fp JOIN am ON (mask & bit) <> 0 GROUP BY threshold, mask)""", recursive=True) + """SELECT m.src, m.dst,
+m.f AS frequency, pt.threshold, pt.pattern FROM model m LEFT JOIN am ON am.src = m.src AND am.dst = m.dst
+LEFT JOIN pt ON (pt.mask & am.bit) <> 0""")
+def highlight_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frequent pattern on the arcs of the model."""
+    log = daily(spark, sf_dir)
+    edges = _model(log)
+    found = P.patterns_many(R.case_arcs(log, edges), case_count(log).first()["n_cases"], [THRESHOLD])
+    names = F.transform("arcs", lambda a: F.concat(a["src"], F.lit("->"), a["dst"]))
+    return M.highlight_patterns(edges, found).select(
+        "src", "dst", "frequency", "threshold", F.array_join(names, ",").alias("pattern"))
+
+
+@query(with_(DAILY, PADDED, model(), CLEAN, "nf AS (SELECT activity, count(*) AS n FROM ev GROUP BY activity)",
+             "sw AS (SELECT max(n) / 4.0 AS step FROM nf)") + """SELECT activity, n,
+CASE WHEN n < step THEN 0 WHEN n < step*2 THEN 1 WHEN n < step*3 THEN 2 ELSE 3 END AS bucket
+FROM nf, sw WHERE activity IN (SELECT src FROM cl UNION SELECT dst FROM cl)""")
+def bucket_kept_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only activities of the model, by steps of the most frequent one of all."""
+    log = daily(spark, sf_dir)
+    return bucket_equal_width(activity_frequency(log), "n", kept=R.arc_nodes(M.clean_model(_model(log))))
+
+
 @query(with_(DAILY, *ARCS, TOP, "mk AS (SELECT src, dst FROM ca WHERE variant_id IN (SELECT variant_id FROM tv))",
              CLEAN) + """SELECT activity, count(*) AS frequency,
 activity IN (SELECT src FROM mk UNION SELECT dst FROM mk) AS in_pattern

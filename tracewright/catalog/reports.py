@@ -27,7 +27,7 @@ tl AS (SELECT c.category, b.bin, f + b.bin*w AS bin_start, coalesce(cb.n, 0) AS
 
 
 def _extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.case_completion_extents(tagged(spark, sf_dir), "workflow", "category")
+    return W.case_completion_extents(tagged(spark, sf_dir, windows=False), "workflow", "category")
 
 
 @query(with_(TAGGED, EXTENTS) + "SELECT * FROM ce")
@@ -71,7 +71,7 @@ def category_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(TAGGED, EXTENTS, TIMELINE) + """SELECT *, CAST(sum(n) OVER (PARTITION BY bin) AS BIGINT) AS total,
 round(CASE WHEN sum(n) OVER (PARTITION BY bin) > 0 THEN 100.0*n/sum(n) OVER (PARTITION BY bin) END, 6) AS share FROM tl""")
 def category_timeline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(report(tagged(spark, sf_dir), "workflow", "category")["category_timeline"], "share")
+    return rounded(report(tagged(spark, sf_dir, windows=False), "workflow", "category")["category_timeline"], "share")
 
 
 @query(with_(TAGGED, EXTENTS) + """SELECT category, workflow, n FROM (SELECT DISTINCT workflow, category FROM ce)
@@ -112,12 +112,12 @@ bk AS (SELECT s.*, CASE WHEN i < (c//2)//2 THEN 3 WHEN i < c//2 THEN 2 WHEN i <
 
 @query(with_(DAILY, FREQUENCY) + f"SELECT activity, n, {_width_sql('n', '((SELECT max(n) FROM fq)/4)')} FROM fq")
 def bucket_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bucket_equal_width(activity_frequency(daily(spark, sf_dir)), "n")
+    return B.bucket_equal_width(activity_frequency(daily(spark, sf_dir, windows=False)), "n")
 
 
 @query(with_(DAILY, AVERAGES) + f"SELECT activity, mean, {_width_sql('mean', '((SELECT max(mean) FROM av)//4)')} FROM av")
 def bucket_equal_width_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = activity_averages(daily(spark, sf_dir)).select("activity", "mean")
+    means = activity_averages(daily(spark, sf_dir, windows=False)).select("activity", "mean")
     return B.bucket_equal_width(means, "mean", whole_steps=True)
 
 
@@ -129,12 +129,12 @@ def bucket_equal_width_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(DAILY, FREQUENCY, _count_sql("fq", "n")) + "SELECT activity, n, bucket FROM bk")
 def bucket_equal_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bucket_equal_count(activity_frequency(daily(spark, sf_dir)), "n")
+    return B.bucket_equal_count(activity_frequency(daily(spark, sf_dir, windows=False)), "n")
 
 
 @query(with_(DAILY, AVERAGES, _count_sql("av", "mean")) + "SELECT activity, mean, bucket FROM bk")
 def bucket_equal_count_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = activity_averages(daily(spark, sf_dir)).select("activity", "mean")
+    means = activity_averages(daily(spark, sf_dir, windows=False)).select("activity", "mean")
     return B.bucket_equal_count(means, "mean")
 
 

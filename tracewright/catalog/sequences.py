@@ -98,7 +98,7 @@ def variants_by_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(DAILY) + "SELECT count(DISTINCT trace) AS n_cases FROM ev")
 def case_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.case_count(daily(spark, sf_dir))
+    return S.case_count(daily(spark, sf_dir, windows=False))
 
 
 @query(with_(DAILY, SEQUENCE, VARIANTS, TOP)

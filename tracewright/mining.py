@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 
 from tracewright.operators import activity, arcs, buckets, cases, loops, model, sequence, variants, workflow
 from tracewright.operators.cleaning import drop_dummies
+from tracewright.plans.skew import sliced
 from tracewright.plans.storage import materialize, store
+from tracewright.spec import PART
 
 
 def mine(
@@ -19,6 +21,8 @@ def mine(
     tables are lazy and read those.
     """
     events = store(sequence.prepare(log, group=group, instant=instant), "events")
+    if PART in log.columns and not sliced(log):
+        events = events.drop(PART)
     log = drop_dummies(events)
     edges = materialize(model.clean_model(model.dependency_graph(log, threshold)))
     nodes = model.model_nodes(log, edges)
@@ -28,7 +32,7 @@ def mine(
     top_variants = materialize(variants.top_variants(log, top))
     extremes = materialize(cases.longest_shortest_case(log))
     return {
-        "events": events,
+        "events": events.drop(PART),
         "traces": sequence.traces(log),
         "edges": edges,
         "nodes": nodes,

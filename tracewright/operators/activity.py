@@ -18,18 +18,25 @@ QUARTILE_GAP_MS = 1  # a slice starts this long after the one before it ends
 def duration_summary(value: str) -> list[Column]:
     """Mean (truncated), max, min, deviation and total of a bigint column.
 
-    The deviation is taken around the truncated mean: the variance around the true mean plus the
-    square of how far the two means lie apart. That needs one pass and no squares of big integers.
-    Sums are decimals, so that only a total beyond a bigint can not be told.
+    The deviation is taken around the truncated mean m, from sums of integers: the sum of (x - m)^2 is
+    sum(x^2) - 2 m sum(x) + n m^2. That needs one pass and gives the same however rows are split over
+    tasks. Where a term passes 38 digits, the variance in floating point takes its place. Sums are
+    decimals, so that only a total beyond a bigint can not be told.
     """
-    total = F.sum(F.col(value).cast("decimal(38,0)"))
-    exact = total.cast("double") / F.count(value)
-    truncated = F.expr(f"sum(cast({value} as decimal(38,0))) div count({value})")
+    wide = "decimal(38,0)"
+    total = F.sum(F.col(value).cast(wide))
+    n = F.count(value)
+    truncated = F.expr(f"sum(cast({value} as {wide})) div count({value})")
+    x, m = F.col(value).cast("decimal(19,0)"), truncated.cast(wide)
+    squares = F.try_add(
+        F.try_subtract(F.try_sum(x * x), F.try_multiply(F.try_multiply(m, F.lit(2).cast(wide)), total)),
+        F.try_multiply(n.cast(wide), F.try_multiply(m, m)))
+    floating = F.var_pop(value) + F.pow(total.cast("double") / n - truncated, 2)
     return [
         truncated.alias("mean"),
         F.max(value).alias("max"),
         F.min(value).alias("min"),
-        F.sqrt(F.var_pop(value) + F.pow(exact - truncated, 2)).alias("deviation"),
+        F.sqrt(F.coalesce(squares.cast("double") / n, floating)).alias("deviation"),
         total.cast("long").alias("total"),
     ]
 
@@ -115,8 +122,11 @@ def activity_averages(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def activity_durations(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean, max, min, deviation, total and median duration per activity, longest mean first."""
     by = [*keys, ACTIVITY]
-    middle = medians(_with_duration(events), by, "duration")
-    return activity_averages(events, keys).join(middle, by).orderBy(*keys, F.desc("mean"), ACTIVITY)
+    averages = activity_averages(events, keys)
+    middle = medians(_with_duration(events), by, "duration").withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return averages.join(middle, same, "left").select(*averages.columns, "median").orderBy(
+        *keys, F.desc("mean"), ACTIVITY)
 
 
 def longest_shortest_activity(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

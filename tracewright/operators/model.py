@@ -143,3 +143,12 @@ def highlight_nodes(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     """Every model activity with whether a marked arc touches it."""
     flags = marked.select(F.explode(F.array(*ARC)).alias(ACTIVITY)).distinct().withColumn("_in", F.lit(True))
     return nodes.join(flags, ACTIVITY, "left").withColumn("in_pattern", F.col("_in").isNotNull()).drop("_in")
+
+
+def highlight_patterns(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every model arc once for each pattern it is in, with `threshold` and the `arcs` of the pattern.
+
+    An arc that no pattern holds has one row without them.
+    """
+    marks = patterns.select("threshold", "arcs", F.explode("arcs").alias("_arc")).select("threshold", "arcs", "_arc.*")
+    return edges.join(marks, list(ARC), "left")

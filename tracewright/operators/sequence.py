@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.plans.skew import sliced, with_neighbours, with_positions
+from tracewright.plans.skew import with_neighbours, with_positions
 from tracewright.spec import (
-    ACTIVITY, COMPLETE, DUMMY_MS, END_TASK, POS, SEGMENT, SEGMENT_EVENTS, SEQ, START, START_TASK, TRACE,
+    ACTIVITY, COMPLETE, DUMMY_MS, END_TASK, PART, POS, SEGMENT, SEGMENT_EVENTS, SEQ, START, START_TASK, TRACE,
 )
 
 
@@ -66,7 +66,7 @@ def add_dummies(events: DataFrame, keys: Sequence[str] = (), keep: Sequence[str]
     marker = F.array_compact(F.array(
         F.when(F.col("is_first"), "start"), F.lit("own"), F.when(F.col("is_last"), "end")))
     rows = near.withColumn("_row", F.explode(marker))
-    kept = {*by, *keep, *sliced(events)}
+    kept = {*by, *keep, PART}
 
     def value(column: str) -> Column:
         own = F.col(column)

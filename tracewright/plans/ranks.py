@@ -19,7 +19,7 @@ def values_at_ranks(
     Rows are first counted per distinct value, then per high digit. The running count over the high
     digits says in which one each rank falls, and only the values of that digit are looked at
     again. A window therefore sees high digits or the values of a single digit, never a whole group.
-    Null values do not count, and null keys make no group.
+    Null values do not count; a null key is a group like any other.
     """
     keys = list(keys)
     counts = (
@@ -28,7 +28,7 @@ def values_at_ranks(
         .withColumn("_top", F.shiftright(F.col(value), DIGIT))
     )
     # the join below asks for the same; said here, both of its sides share one scan and shuffle
-    for column in [*keys, value, "_top"]:
+    for column in [value, "_top"]:
         counts = counts.where(F.col(column).isNotNull())
 
     def cumulative(histogram: DataFrame, group: Sequence[str], step: str) -> DataFrame:
@@ -49,7 +49,9 @@ def values_at_ranks(
     targets = wanted.groupBy(*keys, "_top").agg(
         F.collect_list(F.struct("_rank.name", (F.col("_rank.at") - F.col("_from")).alias("at"))).alias("_ranks"))
 
-    near = cumulative(counts.join(targets, [*keys, "_top"]), [*keys, "_top"], value)
+    targets = targets.withColumnsRenamed({c: f"_of_{c}" for c in [*keys, "_top"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys] + [F.col("_top") == F.col("_of__top")]
+    near = cumulative(counts.join(targets, same), [*keys, "_top"], value)
     hits = near.select(*keys, value, "_from", "_to", F.explode("_ranks").alias("_rank")).where(
         (F.col("_rank.at") >= F.col("_from")) & (F.col("_rank.at") < F.col("_to")))
     return hits.groupBy(*keys).agg(

@@ -11,79 +11,46 @@ from pyspark.sql import functions as F
 from tracewright.plans.storage import store
 from tracewright.spec import ORDER, PART, SEQ, START, TRACE
 
-HOT_CASE_EVENTS = 1_000_000  # a case above this is sliced
-MAX_PARTS = 4096  # more slices than this over the whole log bring no more parallelism
-SKETCH_ITEMS = 1000
-SAMPLES_PER_PART = 32
+HOT_CASE_EVENTS = 1_000_000  # a case above this is sliced, and a slice holds about as many events
+HOT_KEYS = 1000
 BROADCAST_ROWS = 200_000
 SALTS = 64
+_WHOLE = {"slices": False}  # metadata of a slice column that holds no slices
 
 
 def split_hot_cases(log: DataFrame, min_events: int = HOT_CASE_EVENTS) -> DataFrame:
-    """Add `case_part`, a slice number in event order, to the events of very large cases.
+    """Add `case_part`, a slice number in event order for the events of very large cases, null for all others.
 
     Windows over a case then run on (case, slice), so one case never has to fit in one task;
-    `with_neighbours` and `with_positions` put the slices back together. A log without such a case
-    is returned as it is; a sliced one is written once to shared storage, so that later steps neither
-    repeat the search for slices nor scan other cases to put borders together. Slices only steer where the work runs, never what it yields, so an
-    approximate list of frequent cases and approximate cut points are enough. That list holds at
-    most SKETCH_ITEMS cases and all slices together number at most MAX_PARTS + SKETCH_ITEMS.
+    `with_neighbours` and `with_positions` put the slices back together. Slices only steer where the
+    work runs, never what it yields. Cases are counted exactly, events without a case id as one of them.
+    The events of large cases are range-partitioned by case and order, a partition for each `min_events`
+    of them, and written once to shared storage: the partition is the slice. All other events are read
+    from the log as it is, and keep their filters. The column is there whatever the size of the log.
     """
-    total = log.count()
-    if total <= min_events:
-        return log
-    per_part = max(min_events, math.ceil(total / MAX_PARTS))
-    found = log.agg(F.expr(f"approx_top_k({TRACE}, {SKETCH_ITEMS}, 10000)").alias("top")).first()["top"]
-    hot = [(r["item"], max(1, r["count"] // per_part)) for r in found if r["count"] > per_part]
-    if not hot:
-        return log
-
-    spark = log.sparkSession
-    sizes = spark.createDataFrame(
-        [(t, p, max(1, per_part // SAMPLES_PER_PART)) for t, p in hot],
-        f"{TRACE} string, _parts int, _rate long",
-    )
-    point = F.struct(*ORDER)
-    sampled = (
-        log.select(TRACE, *ORDER)
-        .join(F.broadcast(sizes), TRACE)
-        .where(F.pmod(F.xxhash64(TRACE, START, SEQ), "_rate") == 0)
-        .groupBy(TRACE, "_parts")
-        .agg(F.sort_array(F.collect_list(point)).alias("_sample"))
-    )
-    # every (sample size / parts)-th sampled event is a cut point
-    cuts = sampled.select(
-        TRACE,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.col("_parts")),
-                lambda i: F.get("_sample", F.least(
-                    F.floor(i * F.size("_sample") / (F.col("_parts") + 1)).cast("int"),
-                    F.size("_sample") - 1,
-                )),
-            )
-        ).alias("_cuts"),
-    )
-    steps = F.array(*[F.lit(2**b) for b in range(MAX_PARTS.bit_length(), -1, -1)])
-
-    def passed(cut_points: Column) -> Column:
-        """How many cut points lie at or before the event, by binary search."""
-        return F.aggregate(
-            steps,
-            F.lit(0),
-            lambda at, step: F.when(
-                (at + step <= F.size(cut_points)) & (F.get(cut_points, at + step - 1) <= point), at + step
-            ).otherwise(at),
-        )
-
-    cut = log.join(F.broadcast(cuts), TRACE, "left").withColumn(
-        PART, F.when(F.col("_cuts").isNotNull(), passed(F.col("_cuts")))).drop("_cuts")
-    return store(cut, "sliced-log")
+    case = F.coalesce(F.concat(F.lit("="), TRACE), F.lit("")).alias("_case")
+    sizes = log.groupBy(case).agg(F.count("*").alias("_events")).where(F.col("_events") > min_events)
+    sizes = store(sizes, "hot-cases")
+    n_cases, n_events = sizes.agg(F.count("*"), F.sum("_events")).first()
+    if not n_cases:
+        return log.withColumn(PART, F.lit(None).cast("int")).withMetadata(PART, _WHOLE)
+    keyed, hot = log.select("*", case), sizes.select("_case")
+    parts = join_lookup(keyed, hot, ["_case"], "left_semi", rows=n_cases).drop("_case").repartitionByRange(
+        math.ceil(n_events / min_events), TRACE, *ORDER).withColumn(PART, F.spark_partition_id())
+    others = join_lookup(keyed, hot, ["_case"], "left_anti", rows=n_cases).drop("_case")
+    return others.withColumn(PART, F.lit(None).cast("int")).unionByName(store(parts, "sliced-cases"))
 
 
 def sliced(df: DataFrame) -> list[str]:
     """The extra grouping column of a log with sliced cases."""
-    return [PART] if PART in df.columns else []
+    return [PART] if PART in df.columns and df.schema[PART].metadata != _WHOLE else []
+
+
+def _beside(df: DataFrame, per_slice: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left join with one row per slice; events without a case id are a case here too."""
+    own = per_slice.withColumnsRenamed({c: f"_of_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    return df.join(own, same, "left").drop(*[f"_of_{c}" for c in group])
 
 
 def with_neighbours(
@@ -113,7 +80,7 @@ def with_neighbours(
         along = Window.partitionBy(*by).orderBy(PART)
         edges = edges.select(*group, *[shift(name).over(along).alias("_edge" + name)
                                        for name, _, shift, _, _, _ in sides])
-        out = out.join(edges, group, "left")
+        out = _beside(out, edges, group)
         for name, *_ in sides:
             out = out.withColumn(name, F.coalesce(name, "_edge" + name)).drop("_edge" + name)
     for name, cols, _, _, prefix, flag in sides:
@@ -133,7 +100,7 @@ def with_positions(
         counts = df.where(F.col(PART).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
         earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-        out = out.join(offsets, group, "left").withColumn(
+        out = _beside(out, offsets, group).withColumn(
             name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset")
     return out
 
@@ -142,7 +109,7 @@ def join_lookup(
     big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
     limit: int = BROADCAST_ROWS, rows: int | None = None,
 ) -> DataFrame:
-    """Join with a table that is usually tiny, on a key that may be hot in `big`: inner or left_semi.
+    """Join with a table that is usually tiny, on a key that may be hot in `big`: inner, left_semi or left_anti.
 
     The lookup is counted first unless its number of `rows` is known, so it should be cheap to
     compute or materialized. Up to `limit` rows it is broadcast; beyond that it is repeated once per
@@ -161,12 +128,12 @@ def join_dimension(
     """Inner join with a table of unique keys of any size, when some keys may be hot in the facts.
 
     A dimension of up to `limit` rows is broadcast. From a larger one only the rows of the most
-    frequent keys are, SKETCH_ITEMS at most; all other keys go through an ordinary join that no
+    frequent keys are, HOT_KEYS at most; all other keys go through an ordinary join that no
     single key dominates any more.
     """
     if dimension.count() <= limit:
         return facts.join(F.broadcast(dimension), key)
-    top = facts.agg(F.expr(f"approx_top_k({key}, {SKETCH_ITEMS}, 10000)").alias("top")).first()["top"]
+    top = facts.agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, 10000)").alias("top")).first()["top"]
     hot = [r["item"] for r in top]
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     return facts.where(is_hot).join(F.broadcast(dimension.where(is_hot)), key).unionByName(
