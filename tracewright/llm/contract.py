@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, html_text, language, lines, minhash, packing, passages, quality, records, tool_calls
+from tracewright.llm import (
+    decontamination, html_text, language, lines, minhash, packing, passages, quality, records, runs, tool_calls,
+)
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
 
@@ -200,3 +202,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1), "pieces")
     return packing.pack(pieces).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by a hash of its id, repeats a stretch of its words from some word on.
+
+    With h = crc32 of the id and g = h // 10, a text of n words whose h is a multiple of 10 goes on from
+    word a = g % n with the p = 1 + (n - a) // (3 + g % 8) words that start there, again and again.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("_words"), F.floor(h / 10)
+    placed = chosen.withColumns({"_n": n, "_a": F.when(n > 0, g % n).cast("int")}).withColumn(
+        "_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")))
+    looped = F.slice(F.concat(F.slice("_words", F.lit(1), F.col("_a")), again), F.lit(1), F.col("_n"))
+    return placed.select("doc_id", F.when(F.col("_n") > 0, F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def _run_line(run: Column) -> Column:
+    return F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n"))
+
+
+@query()
+def op13_branching_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, of which every tenth is made to loop."""
+    found = runs.periodic_runs(with_loops(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", _run_line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
