@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import (
-    decontamination, html_text, language, lines, minhash, packing, passages, quality, records, runs, tool_calls,
+    decontamination, html_text, language, lines, minhash, packing, passages, prefix_trie, quality, records, runs,
+    tool_calls,
 )
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
@@ -204,6 +205,69 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def with_borrowed_openings(sequences: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Numbered turns of which the first h of conversation c - c % 20 take the place of the first h of c.
+
+    h is crc32 of the id, modulo 4. Where that conversation has fewer turns, or is not there, its turns
+    are all that is taken; the places of the turns of c follow.
+    """
+    origin = (F.col("conv_id") - F.col("conv_id") % 20).alias("_origin")
+    plan = sizes.select("conv_id", origin, (F.crc32(F.col("conv_id").cast("string")) % 4).alias("_h"))
+    plan = plan.join(sizes.select(F.col("conv_id").alias("_origin"), F.col("n_turns").alias("_there")), "_origin", "left").select(
+        "conv_id", "_origin", "_h", F.least("_h", F.coalesce("_there", F.lit(0).cast("long"))).alias("_taken"))
+    plan = store(plan, "openings")
+    rest = ["mark_1", "mark_2", "words"]
+    own = sequences.where("place > crc32(cast(conv_id as string)) % 4").join(plan.drop("_origin"), "conv_id").select(
+        "conv_id", (F.col("place") - F.col("_h") + F.col("_taken")).alias("place"), *rest)
+    # at most three turns of each conversation that others borrow from, for twenty conversations each
+    heads = sequences.where("place <= 3 and conv_id % 20 = 0").withColumnRenamed("conv_id", "_origin")
+    return heads.join(plan, "_origin").where("place <= _h").select("conv_id", "place", *rest).unionByName(own)
+
+
+TRIE_SQL = """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role, text
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS origin, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+    SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY t.own, t.place) AS d, t.role, t.text
+    FROM convs c JOIN (SELECT conv_id, place, role, text, unnest([0, 1]) AS own FROM turns) t
+        ON (own = 0 AND t.conv_id = c.origin AND place <= h) OR (own = 1 AND t.conv_id = c.conv_id AND place > h)),
+lists AS (
+    SELECT conv_id, d, text, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM rebuilt
+    UNION ALL SELECT conv_id, 0, '', [] FROM convs),
+lengths AS (SELECT conv_id, max(d) AS n FROM lists GROUP BY conv_id),
+nodes AS (
+    SELECT path, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(text) AS text,
+        list(conv_id ORDER BY conv_id) FILTER (d = n) AS ends
+    FROM lists JOIN lengths USING (conv_id) GROUP BY path),
+linked AS (
+    SELECT c.path, c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.ends,
+        (c.n_convs - 1) * len(regexp_extract_all(c.text, '[^\\x20\\x09-\\x0D]+')) AS saved
+    FROM nodes c LEFT JOIN nodes p ON c.depth > 0 AND p.path = c.path[:c.depth - 1]),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (conv_id, depth)),
+totals AS (
+    SELECT path[:d] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(array_to_string(ends, ','), '')) AS ends_sha256
+FROM counted JOIN totals USING (path)
+"""
+
+
+@query(TRIE_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared openings of all conversations, each with its opening borrowed from another."""
+    sequences, sizes = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(with_borrowed_openings(sequences, sizes), sizes)
+
+
 def with_loops(docs: DataFrame) -> DataFrame:
     """Documents of which every tenth, by a hash of its id, repeats a stretch of its words from some word on.
 
