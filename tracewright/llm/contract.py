@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import (
     decontamination, html_text, language, lines, minhash, packing, passages, prefix_trie, quality, records, runs,
-    tool_calls,
+    tool_calls, toxicity,
 )
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
@@ -205,6 +205,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query()
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity.remainder() == 1)
+    labels = table(spark, sf_dir, "labels").where(toxicity.remainder() != 1).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.where("not held_out").select("doc_id", "text"), labels)
+    return toxicity.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def with_borrowed_openings(sequences: DataFrame, sizes: DataFrame) -> DataFrame:
     """Numbered turns of which the first h of conversation c - c % 20 take the place of the first h of c.
 
