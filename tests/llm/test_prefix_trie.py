@@ -54,7 +54,8 @@ def test_random_conversations_with_ties_nulls_and_repeats(spark):
 
 def test_equal_conversations_and_one_long_one(spark):
     turns = [(c, t, "user", f"hello {t}") for c in range(600) for t in range(2)]
-    turns += [(1000, t, "user", f"hello {t}") for t in range(37)] + [(-4, 0, "user", "other")]
+    turns += [(1001, t, "user", f"hello {t} {t > 200}") for t in range(260)] + [(1002 + c, t, "user", f"hello {t}") for c in range(4) for t in range(64 * (c + 1))]
+    turns += [(1000, t, "user", f"hello {t}") for t in range(300)] + [(-4, 0, "user", "other")]
     assert built(spark, turns) == brute(turns)
 
 
