@@ -144,8 +144,9 @@ LOOPS = """bf AS (SELECT '_START_' AS node, 0 AS depth UNION SELECT m.dst, bf.de
 dp AS (SELECT node, min(depth) AS depth FROM bf GROUP BY node),
 re AS (SELECT src AS origin, dst AS node FROM model UNION SELECT re.origin, m.dst FROM re JOIN model m ON m.src = re.node),
 lo AS (SELECT 'self' AS kind, src, dst FROM model WHERE src = dst UNION ALL
-  SELECT 'return', m.src, m.dst FROM model m JOIN dp a ON a.node = m.src JOIN dp b ON b.node = m.dst
-  WHERE b.depth < a.depth AND EXISTS (SELECT 1 FROM re WHERE re.origin = m.dst AND re.node = m.src))"""
+  SELECT 'return', m.src, m.dst FROM model m LEFT JOIN dp a ON a.node = m.src LEFT JOIN dp b ON b.node = m.dst
+  WHERE m.src <> m.dst AND (coalesce(b.depth, 1000000), m.dst) < (coalesce(a.depth, 1000000), m.src)
+  AND EXISTS (SELECT 1 FROM re WHERE re.origin = m.dst AND re.node = m.src))"""
 TALK = (CONVERSATIONS, PADDED, VARIANTS, model())
 
 
@@ -289,10 +290,12 @@ def patterns_many_infrequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(*DEFAULT_ARCS, _LIMITS.format(THRESHOLD), FREQUENT,
              """nd AS (SELECT DISTINCT mask, unnest([src, dst]) AS node FROM fp JOIN am ON (mask & bit) <> 0)""",
              "ns AS (SELECT mask, count(*) AS n_nodes, string_agg(node, ',' ORDER BY node) AS nodes FROM nd GROUP BY mask)",
-             recursive=True) + """SELECT threshold, string_agg(src || '->' || dst, ',' ORDER BY src, dst) AS pattern,
-any_value(nodes) AS nodes, any_value(n_nodes) AS n_nodes, count(*) AS n_arcs, 2*any_value(n_nodes) + count(*) AS weight,
-any_value(round(support*100, 2)) AS frequency
-FROM fp JOIN am ON (mask & bit) <> 0 JOIN ns USING (mask) GROUP BY threshold, mask""")
+             """su AS (SELECT threshold, any_value(support) AS support, list({'src': src, 'dst': dst} ORDER BY src, dst) AS arcs,
+  string_agg(src || '->' || dst, ',' ORDER BY src, dst) AS pattern,
+any_value(nodes) AS nodes, any_value(n_nodes) AS n_nodes, count(*) AS n_arcs, 2*any_value(n_nodes) + count(*) AS weight
+FROM fp JOIN am ON (mask & bit) <> 0 JOIN ns USING (mask) GROUP BY threshold, mask)""",
+             recursive=True) + """SELECT threshold, 'Pattern ' || row_number() OVER (PARTITION BY threshold ORDER BY support DESC, arcs) AS name,
+pattern, nodes, n_nodes, n_arcs, weight, round(support*100, 2) AS frequency FROM su""")
 def pattern_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pattern_summary(_patterns(spark, sf_dir, "frequent", [THRESHOLD]))
 

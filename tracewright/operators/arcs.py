@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.activity import duration_summary
 from tracewright.operators.variants import VARIANT, variant_events, variants
-from tracewright.plans.skew import join_lookup, sliced, with_neighbours
+from tracewright.plans.skew import join_lookup, sliced, with_latest, with_neighbours
 from tracewright.spec import ACTIVITY, COMPLETE, POS, SEQ, START, TRACE
 
 ARC = ("src", "dst")
+STATE = 128  # activities whose last places one window keeps
 
 
 def directly_follows(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -23,65 +24,104 @@ def directly_follows(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def case_arcs(
-    events: DataFrame, model: DataFrame, mode: str = "latest", chosen: DataFrame | None = None, few: bool = False
+    events: DataFrame, model: DataFrame, mode: str = "latest", chosen: DataFrame | None = None, few: bool = False,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """The model arcs each event of a variant is reached by: `variant_id, src_pos, pos, src, dst, reps`.
 
     Event y takes as source the latest earlier x of each model arc (x, y), unless another y lies
-    between them and has used it up already. Seen from the arc, that is: among the events of the
-    case that are x or y, the one right before y is x. So events are spread over the arcs they
-    touch and compared with the one before, all cases of a variant at once. `mode="directly_follows"`
-    only takes sources right before the event in the whole case. `chosen` restricts the variants;
-    `few` says that they are a handful.
+    between them and has used it up already. `mode="directly_follows"` only takes sources right before
+    the event in the whole case. `chosen` restricts the variants; `few` says that they are a handful.
+    With `keys` the model has them too, and each slice of the log is held against its own arcs.
+
+    The place where each activity was last seen comes from the window that puts the events in order, so
+    nothing is shuffled by arc. That is an array of one place for each activity of the model; beyond
+    STATE activities, events are spread over the arcs they touch instead.
     """
-    chosen = variants(events) if chosen is None else chosen
-    placed = variant_events(events, chosen, dummies=True, few=few)
-    arcs = model.select(*ARC)
+    chosen = variants(events, keys) if chosen is None else chosen
+    placed = variant_events(events, chosen, keys, dummies=True, few=few)
+    arcs = model.select(*keys, *ARC)
+    by = [*keys, VARIANT]
+    columns = [*by, "src_pos", POS, *ARC, "reps"]
     if mode == "directly_follows":
-        near = with_neighbours(placed, before=[ACTIVITY, POS], by=[VARIANT], order=[POS]).where("not is_first")
+        near = with_neighbours(placed, before=[ACTIVITY, POS], by=by, order=[POS]).where("not is_first")
         near = near.withColumnsRenamed({f"prev_{ACTIVITY}": "src", f"prev_{POS}": "src_pos", ACTIVITY: "dst"})
-        return join_lookup(near, arcs, ARC).select(VARIANT, "src_pos", POS, *ARC, "reps")
-    ends = arcs.select(*ARC, F.explode(F.array_distinct(F.array(*ARC))).alias(ACTIVITY))
-    touched = join_lookup(placed, ends, [ACTIVITY])
-    near = with_neighbours(touched, before=[ACTIVITY, POS], by=[VARIANT, *ARC], order=[POS])
+        return join_lookup(near, arcs, [*keys, *ARC]).select(*columns)
+    names = [r[0] for r in arc_nodes(arcs).orderBy(ACTIVITY).limit(STATE + 1).collect()]
+    if not names:
+        return placed.where("false").withColumns({"src_pos": F.col(POS), "src": F.col(ACTIVITY), "dst": F.col(ACTIVITY)}).select(*columns)
+    if len(names) > STATE:
+        return _spread_over_arcs(placed, arcs, keys, columns)
+    seen = with_latest(placed, [F.when(F.col(ACTIVITY) == n, F.col(POS)) for n in names], "_seen", by=by, order=[POS])
+    known = arcs.sparkSession.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "src string, _at int")
+    into = arcs.join(F.broadcast(known), "src").groupBy(*keys, "dst").agg(F.collect_list(F.struct("src", "_at")).alias("_from"))
+    into = into.join(F.broadcast(known.withColumnsRenamed({"src": "dst", "_at": "_own"})), "dst").withColumnRenamed("dst", ACTIVITY)
+    used = F.element_at("_seen", F.col("_own"))
+    met = F.transform("_from", lambda x: F.struct(x["src"].alias("src"), F.element_at("_seen", x["_at"]).alias("src_pos")))
+    open_ = F.filter(met, lambda x: x["src_pos"].isNotNull() & (used.isNull() | (x["src_pos"] >= used)))
+    return join_lookup(seen, into, [*keys, ACTIVITY]).select(
+        *by, POS, F.col(ACTIVITY).alias("dst"), "reps", F.inline(open_)).select(*columns)
+
+
+def _spread_over_arcs(placed: DataFrame, arcs: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`case_arcs` for models of very many activities.
+
+    Seen from the arc (x, y), y takes a source if, among the events of the case that are x or y, the one right
+    before it is x. So events are spread over the arcs they touch and compared with the one before.
+    """
+    ends = arcs.select(*keys, *ARC, F.explode(F.array_distinct(F.array(*ARC))).alias(ACTIVITY))
+    touched = join_lookup(placed, ends, [*keys, ACTIVITY])
+    near = with_neighbours(touched, before=[ACTIVITY, POS], by=[*keys, VARIANT, *ARC], order=[POS])
     return near.where(
         (F.col(ACTIVITY) == F.col("dst")) & (F.col(f"prev_{ACTIVITY}") == F.col("src"))
-    ).select(VARIANT, F.col(f"prev_{POS}").alias("src_pos"), POS, *ARC, "reps")
+    ).withColumn("src_pos", F.col(f"prev_{POS}")).select(*columns)
 
 
-def arc_frequency(arcs_of_cases: DataFrame) -> DataFrame:
+def arc_frequency(arcs_of_cases: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """How often each arc is used over all cases, most used first."""
-    return arcs_of_cases.groupBy(*ARC).agg(F.sum("reps").alias("frequency")).orderBy(F.desc("frequency"), *ARC)
+    return arcs_of_cases.groupBy(*keys, *ARC).agg(F.sum("reps").alias("frequency")).orderBy(*keys, F.desc("frequency"), *ARC)
 
 
-def variant_arcs(events: DataFrame, model: DataFrame, chosen: DataFrame, mode: str = "latest") -> DataFrame:
+def variant_arcs(
+    events: DataFrame, model: DataFrame, chosen: DataFrame, mode: str = "latest", keys: Sequence[str] = (), few: bool = True
+) -> DataFrame:
     """The arcs of a few chosen variants, such as `top_variants`, in order of the event they lead to."""
-    return case_arcs(events, model, mode, chosen, few=True).orderBy(VARIANT, POS, "src")
+    return case_arcs(events, model, mode, chosen, few=few, keys=keys).orderBy(*keys, VARIANT, POS, "src")
 
 
-def arcs_of_reported_cases(events: DataFrame, model: DataFrame, reported: DataFrame) -> DataFrame:
+def arcs_of_reported_cases(
+    events: DataFrame, model: DataFrame, reported: DataFrame, keys: Sequence[str] = (), few: bool = True
+) -> DataFrame:
     """The arcs of the two rows of `longest_shortest_case`, by `kind`."""
-    reported = reported.select("kind", TRACE)
+    reported = reported.select(*keys, "kind", TRACE)
     single = reported.select(
-        F.col(TRACE).alias(VARIANT), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("n_events")
+        *keys, F.col(TRACE).alias(VARIANT), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("n_events")
     ).distinct()
-    found = case_arcs(events, model, chosen=single, few=True)
-    return found.withColumnRenamed(VARIANT, TRACE).join(F.broadcast(reported), TRACE).select(
-        "kind", TRACE, "src_pos", POS, *ARC)
+    found = case_arcs(events, model, chosen=single, few=few, keys=keys).withColumnRenamed(VARIANT, TRACE)
+    return found.join(F.broadcast(reported) if few else reported, [*keys, TRACE]).select(
+        *keys, "kind", TRACE, "src_pos", POS, *ARC)
+
 
+def _above(arcs: DataFrame, limit: Column, keys: Sequence[str]) -> DataFrame:
+    """Arcs more frequent than `limit` times the largest frequency of the slice: a window over one row per arc."""
+    if keys:
+        top = F.max("frequency").over(Window.partitionBy(*keys))
+        return arcs.withColumn("_top", top).where(F.col("frequency") > F.col("_top") * limit).drop("_top")
+    return arcs.where(F.col("frequency") > arcs.agg(F.max("frequency")).scalar() * limit)
 
-def prune_arcs(arcs: DataFrame, threshold: float) -> DataFrame:
+
+def prune_arcs(arcs: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
     """The arcs whose frequency is above `threshold` times the largest one."""
-    top = arcs.agg(F.max("frequency")).scalar()
-    return arcs.where(F.col("frequency") > top * F.lit(float(threshold)))
+    return _above(arcs, F.lit(float(threshold)), keys)
 
 
-def prune_arcs_many(arcs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+def prune_arcs_many(arcs: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """`prune_arcs` for several thresholds, told apart by the column `threshold`."""
-    top = arcs.agg(F.max("frequency")).scalar()
     limits = F.array(*[F.lit(float(t)) for t in thresholds])
-    return arcs.withColumn("threshold", F.explode(limits)).where(
-        F.col("frequency") > top * F.col("threshold"))
+    if keys:
+        return _above(arcs.withColumn("threshold", F.explode(limits)), F.col("threshold"), keys)
+    top = arcs.agg(F.max("frequency")).scalar()
+    return arcs.withColumn("threshold", F.explode(limits)).where(F.col("frequency") > top * F.col("threshold"))
 
 
 def arc_nodes(arcs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.plans.storage import store
+
 DIGIT = 20  # bits of the low digit: at most 2**20 different values share a high digit
 
 
@@ -66,3 +68,20 @@ def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         "_lower": F.when(F.col("n") % 2 == 0, half - 1).otherwise(half),
     })
     return middle.select(*keys, F.expr("(_lower + _upper) div 2").alias("median"))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of each group from 1 in the given order, without a group in one task.
+
+    Rows are range-partitioned by group and order and written once; numbers inside a part are those of a
+    window, and what lies before it comes from a table with a row for each group and part. Equal rows
+    get numbers in no order of their own.
+    """
+    parts = store(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_of_part"), before.alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_part") == F.col("_of_part")]
+    inside = Window.partitionBy(*by, "_part").orderBy(*order)
+    placed = parts.withColumn(name, F.row_number().over(inside)).join(sizes, same)
+    return placed.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)

@@ -89,6 +89,29 @@ def with_neighbours(
     return out
 
 
+def with_latest(
+    df: DataFrame, values: Sequence[Column], name: str, by: Sequence[str] = (TRACE,), order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """Add an array: for each of the values the last one that is not null in the rows before, in order.
+
+    All of them come from one window, so there is one shuffle however many there are. Values may not be arrays.
+    """
+    group = [*by, *sliced(df)]
+    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.select("*", F.array(*[F.last(v, ignorenulls=True).over(before) for v in values]).alias(name))
+    if sliced(df):
+        at = F.struct(*order)
+        ends = df.where(F.col(PART).isNotNull()).groupBy(*group).agg(
+            *[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_{i}") for i, v in enumerate(values)])
+        earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*group, F.array(*[
+            F.last(f"_{i}", ignorenulls=True).over(earlier) for i in range(len(values))]).alias("_edge"))
+        out = _beside(out, ends, group)
+        both = F.zip_with(name, "_edge", lambda own, edge: F.coalesce(own, edge))
+        out = out.withColumn(name, F.when(F.col("_edge").isNull(), F.col(name)).otherwise(both)).drop("_edge")
+    return out
+
+
 def with_positions(
     df: DataFrame, name: str, by: Sequence[str] = (TRACE,), order: Sequence[str] = ORDER
 ) -> DataFrame:
