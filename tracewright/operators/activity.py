@@ -15,32 +15,46 @@ QUARTILES = 4
 QUARTILE_GAP_MS = 1  # a slice starts this long after the one before it ends
 
 
-def duration_summary(value: str) -> list[Column]:
-    """Mean (truncated), max, min, deviation and total of a bigint column.
+def duration_summary(value: str, weight: str | None = None) -> list[Column]:
+    """Mean (truncated), max, min, deviation and total of a bigint column, and the total as a decimal (`_total`).
 
-    The deviation is taken around the truncated mean m, from sums of integers: the sum of (x - m)^2 is
-    sum(x^2) - 2 m sum(x) + n m^2. That needs one pass and gives the same however rows are split over
-    tasks. Where a term passes 38 digits, the variance in floating point takes its place. Sums are
-    decimals, so that only a total beyond a bigint can not be told.
+    With `weight` a row stands for that many. The deviation is taken around the truncated mean m, from
+    sums of integers: the sum of (x - m)^2 is sum(x^2) - 2 m sum(x) + n m^2. That needs one pass and gives
+    the same however rows are split over tasks. Where a term passes 38 digits, the variance in floating
+    point takes its place. Sums are decimals, so that only `total` itself is null if it is beyond a bigint.
     """
     wide = "decimal(38,0)"
-    total = F.sum(F.col(value).cast(wide))
-    n = F.count(value)
-    truncated = F.expr(f"sum(cast({value} as {wide})) div count({value})")
-    x, m = F.col(value).cast("decimal(19,0)"), truncated.cast(wide)
+    x = F.col(value).cast("decimal(19,0)")
+    w = F.when(F.col(value).isNotNull(), F.col(weight)).cast("decimal(19,0)") if weight else None
+    total = F.sum((x * w if weight else x).cast(wide))
+    n = F.coalesce(F.sum(w), F.lit(0)).cast("long") if weight else F.count(value)
+    truncated = F.when(n > 0, _div(total, n))
+    m = truncated.cast(wide)
+    square = F.try_multiply(x * x, w) if weight else x * x
     squares = F.try_add(
-        F.try_subtract(F.try_sum(x * x), F.try_multiply(F.try_multiply(m, F.lit(2).cast(wide)), total)),
+        F.try_subtract(F.try_sum(square), F.try_multiply(F.try_multiply(m, F.lit(2).cast(wide)), total)),
         F.try_multiply(n.cast(wide), F.try_multiply(m, m)))
-    floating = F.var_pop(value) + F.pow(total.cast("double") / n - truncated, 2)
+    y = F.col(value).cast("double")
+    mean = total.cast("double") / n
+    if weight:
+        floating = F.sum(y * y * F.col(weight)) / n - mean * mean + F.pow(mean - truncated, 2)
+    else:
+        floating = F.var_pop(value) + F.pow(mean - truncated, 2)
     return [
         truncated.alias("mean"),
         F.max(value).alias("max"),
         F.min(value).alias("min"),
         F.sqrt(F.coalesce(squares.cast("double") / n, floating)).alias("deviation"),
-        total.cast("long").alias("total"),
+        total.try_cast("long").alias("total"),
+        total.alias("_total"),
     ]
 
 
+def _div(total: Column, n: Column) -> Column:
+    """Whole part of the quotient."""
+    return F.call_function("div", total, n)
+
+
 def _share(keys: Sequence[str]) -> Column:
     return F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
 
@@ -116,14 +130,19 @@ def _with_duration(events: DataFrame) -> DataFrame:
 
 def activity_averages(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The duration statistics that one pass gives: all of `activity_durations` but the median."""
-    return _with_duration(events).groupBy(*keys, ACTIVITY).agg(*duration_summary("duration"))
+    return _with_duration(events).groupBy(*keys, ACTIVITY).agg(*duration_summary("duration")).drop("_total")
 
 
 def activity_durations(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean, max, min, deviation, total and median duration per activity, longest mean first."""
+    """Mean, max, min, deviation, total and median duration per activity, longest mean first.
+
+    Events are counted once per activity and duration; all numbers come from that table, the median
+    from the running counts of its high digits.
+    """
     by = [*keys, ACTIVITY]
-    averages = activity_averages(events, keys)
-    middle = medians(_with_duration(events), by, "duration").withColumnsRenamed({c: f"_of_{c}" for c in by})
+    counts = _with_duration(events).groupBy(*by, "duration").agg(F.count("*").alias("_events"))
+    averages = counts.groupBy(*by).agg(*duration_summary("duration", "_events")).drop("_total")
+    middle = medians(counts, by, "duration", "_events").withColumnsRenamed({c: f"_of_{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
     return averages.join(middle, same, "left").select(*averages.columns, "median").orderBy(
         *keys, F.desc("mean"), ACTIVITY)
@@ -132,9 +151,10 @@ def activity_durations(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 def longest_shortest_activity(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The activities of largest and smallest total duration, ties by name."""
     row = F.struct(ACTIVITY, "total", "deviation")
-    ends = activity_averages(events, keys).groupBy(*keys).agg(
-        F.min_by(row, F.struct(-F.col("total"), F.col(ACTIVITY))).alias("longest"),
-        F.min_by(row, F.struct("total", ACTIVITY)).alias("shortest"))
+    sums = _with_duration(events).groupBy(*keys, ACTIVITY).agg(*duration_summary("duration"))
+    ends = sums.groupBy(*keys).agg(
+        F.min_by(row, F.struct(-F.col("_total"), F.col(ACTIVITY))).alias("longest"),
+        F.min_by(row, F.struct("_total", ACTIVITY)).alias("shortest"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("of")) for k in ("longest", "shortest")])
     return ends.select(*keys, F.inline(kinds)).select(*keys, "kind", "of.*")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.activity import duration_summary
+from tracewright.operators.sequence import with_names
 from tracewright.operators.variants import VARIANT, variant_events, variants
 from tracewright.plans.skew import join_lookup, sliced, with_latest, with_neighbours
 from tracewright.spec import ACTIVITY, COMPLETE, POS, SEQ, START, TRACE
@@ -18,7 +19,7 @@ STATE = 128  # activities whose last places one window keeps
 
 def directly_follows(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """How often one activity comes right after another in a case: `src, dst, frequency`."""
-    steps = with_neighbours(events, after=[ACTIVITY], by=[*keys, TRACE]).where(~F.col("is_last"))
+    steps = with_neighbours(with_names(events), after=[ACTIVITY], by=[*keys, TRACE]).where(~F.col("is_last"))
     return steps.groupBy(*keys, F.col(ACTIVITY).alias("src"), F.col(f"next_{ACTIVITY}").alias("dst")).agg(
         F.count("*").alias("frequency"))
 
@@ -39,7 +40,7 @@ def case_arcs(
     STATE activities, events are spread over the arcs they touch instead.
     """
     chosen = variants(events, keys) if chosen is None else chosen
-    placed = variant_events(events, chosen, keys, dummies=True, few=few)
+    placed = variant_events(with_names(events), chosen, keys, dummies=True, few=few)
     arcs = model.select(*keys, *ARC)
     by = [*keys, VARIANT]
     columns = [*by, "src_pos", POS, *ARC, "reps"]
@@ -131,7 +132,7 @@ def arc_nodes(arcs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def _steps(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Consecutive events of a case with the time from complete to start in between."""
-    near = with_neighbours(events, after=[ACTIVITY, START], by=[*keys, TRACE]).where(~F.col("is_last"))
+    near = with_neighbours(with_names(events), after=[ACTIVITY, START], by=[*keys, TRACE]).where(~F.col("is_last"))
     return near.select(
         *keys, TRACE, F.col(ACTIVITY).alias("src"), F.col(f"next_{ACTIVITY}").alias("dst"),
         (F.col(f"next_{START}") - F.col(COMPLETE)).alias("duration"))
@@ -139,12 +140,12 @@ def _steps(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def arc_duration_stats(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Max, min, truncated mean and deviation of the times on each arc."""
-    return _steps(events, keys).groupBy(*keys, *ARC).agg(*duration_summary("duration"))
+    return _steps(events, keys).groupBy(*keys, *ARC).agg(*duration_summary("duration")).drop("_total")
 
 
 def case_step_stats(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The same over the steps of each case."""
-    return _steps(events, keys).groupBy(*keys, TRACE).agg(*duration_summary("duration"))
+    return _steps(events, keys).groupBy(*keys, TRACE).agg(*duration_summary("duration")).drop("_total")
 
 
 def extreme_step_cases(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

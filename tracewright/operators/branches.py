@@ -5,7 +5,7 @@ add up down the branch: level 2 also meets the conditions of level 1. SPLIT make
 value found, and the levels below it are repeated for each. Slice `0` is the whole log.
 
 A slice is named by branch number, level number and the values it was split by, for example
-`1.2[region=EUROPE]`. The name follows from the row itself, so no list of values is ever collected.
+`1.2[region=EUROPE]`; a comma, equals sign, bracket or backslash in a value has a backslash before it. The name follows from the row itself, so no list of values is ever collected.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ BRANCH = "branch_id"
 Level = Mapping[str, Sequence | str]
 
 
+def _marked(value: Column) -> Column:
+    """A value with a backslash before the signs that stand between values, so that names of slices differ."""
+    return F.regexp_replace(value, r"([\\\\,=\[\]])", r"\\\\$1")
+
+
 def _slices(
     branches: Sequence[Sequence[Level]], spec: LogSpec | None, only_leaves: bool
 ) -> list[tuple[Column, Column]]:
@@ -54,7 +59,7 @@ def _slices(
                     split.append(column)
                 else:
                     fixed[column] = list(values)
-            by = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in split]
+            by = [F.concat(F.lit(f"{c}="), _marked(F.col(c).cast("string"))) for c in split]
             name = F.concat(F.lit(f"{number}.{depth}["), F.concat_ws(",", *by), F.lit("]")) \
                 if by else F.lit(f"{number}.{depth}")
             conditions = F.create_map(*[x for c in [*fixed, *split] for x in (

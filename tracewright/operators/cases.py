@@ -51,15 +51,16 @@ def longest_shortest_case(events: DataFrame, keys: Sequence[str] = ()) -> DataFr
     return ends.select(*keys, F.inline(kinds)).select(*keys, "kind", "of.*")
 
 
-def case_activities(events: DataFrame, chosen: DataFrame) -> DataFrame:
+def case_activities(events: DataFrame, chosen: DataFrame, keys: Sequence[str] = (), few: bool = True) -> DataFrame:
     """Activities of a few chosen cases as arrays, with the columns of `chosen` added.
 
-    `chosen` has one row per report line, such as the two rows of `longest_shortest_case`. Only the
-    events of those cases are put in order.
+    `chosen` has one row per report line, such as the two rows of `longest_shortest_case`, which are
+    broadcast if `few` says that they are a handful. Only the events of those cases are put in order.
     """
-    chosen = F.broadcast(chosen)
-    own = events.join(F.broadcast(chosen.select(TRACE).distinct()), TRACE, "left_semi")
-    return traces(own).select(TRACE, SEGMENT, "activities").join(chosen, TRACE)
+    by = [*keys, TRACE]
+    hint = F.broadcast if few else (lambda rows: rows)
+    own = events.join(hint(chosen.select(*by).distinct()), by, "left_semi")
+    return traces(own, keys).select(*by, SEGMENT, "activities").join(hint(chosen), by)
 
 
 def duration_five_numbers(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import normalize_activity
-from tracewright.spec import ACTIVITY, COMPLETE, END_TASK, SEQ, START, START_TASK, TRACE, LogSpec
+from tracewright.spec import ACTIVITY, COMPLETE, EMPTY, END_TASK, SEQ, START, START_TASK, TRACE, LogSpec
 
-EMPTY = "-"  # stands for an empty cell
 
 
 def standardize(df: DataFrame, spec: LogSpec) -> DataFrame:
@@ -37,7 +36,7 @@ def standardize(df: DataFrame, spec: LogSpec) -> DataFrame:
     )
     if spec.sequence:
         return standard
-    return standard.withColumn(SEQ, F.shiftright(F.xxhash64(COMPLETE, ACTIVITY), 1))
+    return standard.withColumn(SEQ, F.lit(0).cast("long"))
 
 
 def _time(df: DataFrame, column: str, spec: LogSpec) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.arcs import ARC
-from tracewright.operators.sequence import case_count
+from tracewright.operators.sequence import case_count, with_names
 from tracewright.operators.variants import VARIANT
 from tracewright.plans.skew import with_neighbours
+from tracewright.plans.storage import materialize
 from tracewright.spec import ACTIVITY, END_TASK, POS, START_TASK, TRACE
 
 THRESHOLD = 0.9  # least dependency, loops of length one and two included
@@ -27,7 +28,7 @@ def dependencies(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     which yields all counts in one pass; both directions of a pair then meet in one row, so nothing
     is joined.
     """
-    near = with_neighbours(events, before=[ACTIVITY], after=[ACTIVITY], by=[*keys, TRACE])
+    near = with_neighbours(with_names(events), before=[ACTIVITY], after=[ACTIVITY], by=[*keys, TRACE])
     around = near.groupBy(
         *keys, F.when(F.col("is_first"), START_TASK).otherwise(F.col(f"prev_{ACTIVITY}")).alias("_before"),
         F.col(ACTIVITY).alias("_at"),
@@ -96,18 +97,18 @@ def dependency_graph(
     return judged.select(*keys, *ARC, "frequency", "dependency")
 
 
-def bindings(arcs_of_cases: DataFrame) -> DataFrame:
+def bindings(arcs_of_cases: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Input and output sets of each activity with how often each was used: `activity, side, members, n`.
 
     The output set of an event is what its arcs lead to, the input set where they come from. A set
     is never larger than the number of arcs the activity has in the model.
     """
     per_event = [
-        arcs_of_cases.groupBy(VARIANT, F.col(own_pos).alias(POS), F.col(own).alias(ACTIVITY), "reps").agg(
+        arcs_of_cases.groupBy(*keys, VARIANT, F.col(own_pos).alias(POS), F.col(own).alias(ACTIVITY), "reps").agg(
             F.sort_array(F.collect_set(other)).alias("members")).withColumn("side", F.lit(side))
         for side, own, own_pos, other in (("out", "src", "src_pos", "dst"), ("in", "dst", POS, "src"))
     ]
-    return per_event[0].unionByName(per_event[1]).groupBy(ACTIVITY, "side", "members").agg(
+    return per_event[0].unionByName(per_event[1]).groupBy(*keys, ACTIVITY, "side", "members").agg(
         F.sum("reps").alias("n"))
 
 
@@ -117,20 +118,19 @@ def clean_model(arcs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return arcs.join(linked, [*keys, "src"], "left_semi").select(*arcs.columns)
 
 
-def discover(events: DataFrame, threshold: float = THRESHOLD) -> dict[str, DataFrame]:
-    """`edges` and `nodes` of the model, ready to be drawn."""
-    pairs = dependency_graph(events, threshold)
-    edges = clean_model(pairs)
-    return {"edges": edges, "nodes": model_nodes(events, edges)}
+def discover(events: DataFrame, threshold: float = THRESHOLD, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """`edges` and `nodes` of the model, ready to be drawn. The edges are found once and stored."""
+    edges = materialize(clean_model(dependency_graph(events, threshold, keys=keys), keys))
+    return {"edges": edges, "nodes": model_nodes(events, edges, keys)}
 
 
-def model_nodes(events: DataFrame, edges: DataFrame) -> DataFrame:
+def model_nodes(events: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The activities in a model with their frequency; START and END count the cases."""
     ends = F.explode(F.array(F.lit(START_TASK), F.lit(END_TASK))).alias(ACTIVITY)
-    counted = events.groupBy(ACTIVITY).agg(F.count("*").alias("frequency")).unionByName(
-        case_count(events).select(ends, F.col("n_cases").alias("frequency")))
-    used = edges.select(F.explode(F.array(*ARC)).alias(ACTIVITY)).distinct()
-    return counted.join(used, ACTIVITY, "left_semi")
+    counted = with_names(events).groupBy(*keys, ACTIVITY).agg(F.count("*").alias("frequency")).unionByName(
+        case_count(events, keys).select(*keys, ends, F.col("n_cases").alias("frequency")))
+    used = edges.select(*keys, F.explode(F.array(*ARC)).alias(ACTIVITY)).distinct()
+    return counted.join(used, [*keys, ACTIVITY], "left_semi")
 
 
 def highlight(edges: DataFrame, marked: DataFrame) -> DataFrame:

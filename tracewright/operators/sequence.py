@@ -13,10 +13,24 @@ from pyspark.sql import functions as F
 
 from tracewright.plans.skew import with_neighbours, with_positions
 from tracewright.spec import (
-    ACTIVITY, COMPLETE, DUMMY_MS, END_TASK, PART, POS, SEGMENT, SEGMENT_EVENTS, SEQ, START, START_TASK, TRACE,
+    ACTIVITY, COMPLETE, DUMMY_MS, EMPTY, END_TASK, PART, POS, SEGMENT, SEGMENT_EVENTS, SEQ, START, START_TASK, TRACE,
 )
 
 
+def of_cases(events: DataFrame) -> DataFrame:
+    """Events without a case id are in no case: they count as activities, but are in no sequence and no arc.
+
+    Said in every operator on cases, since a join on the case says it too: the same filter everywhere lets
+    all parts of a query share one shuffle.
+    """
+    return events.where(F.col(TRACE).isNotNull())
+
+
+def with_names(events: DataFrame) -> DataFrame:
+    """Events of cases as arcs see them: an activity that is missing goes by EMPTY."""
+    return of_cases(events).withColumn(ACTIVITY, F.coalesce(ACTIVITY, F.lit(EMPTY)))
+
+
 def sequence(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number the events of each case by start time as `pos`, from 1."""
     return with_positions(events, POS, by=[*keys, TRACE])
@@ -109,7 +123,7 @@ def case_extents_by_order(events: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
     Other events are combined before the shuffle, so a very large case costs no more than others.
     """
-    return events.where(F.col(TRACE).isNotNull()).groupBy(*keys, TRACE).agg(*extent_columns())
+    return of_cases(events).groupBy(*keys, TRACE).agg(*extent_columns())
 
 
 def traces(
@@ -122,7 +136,7 @@ def traces(
     the arrays and the first and last time of its own stretch of positions: no row grows with the
     case. First and last time leave START and END out.
     """
-    placed = sequence(events, keys)
+    placed = sequence(of_cases(events), keys)
     if instant:
         placed = artificial_starts(placed, keys)
     if dummies:
@@ -149,5 +163,5 @@ def segment_of(segment_events: int) -> Column:
 
 def case_count(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of cases as `n_cases`. Events without a case id are in no case, here as in variants."""
-    cases = events.where(F.col(TRACE).isNotNull()).select(*keys, TRACE).distinct()
+    cases = of_cases(events).select(*keys, TRACE).distinct()
     return (cases.groupBy(*keys) if keys else cases).agg(F.count("*").alias("n_cases"))

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.activity import duration_summary
-from tracewright.operators.sequence import add_dummies, extent_columns, segment_of, sequence
-from tracewright.plans.skew import sliced
+from tracewright.operators.sequence import add_dummies, extent_columns, of_cases, segment_of, sequence
+from tracewright.plans.skew import SALTS, sliced
 from tracewright.spec import ACTIVITY, POS, SEGMENT, SEGMENT_EVENTS, TRACE
 
 PRINT = ("n_events", "_hash_1", "_hash_2")
@@ -23,18 +23,9 @@ HOT_VARIANT_CASES = 1_000_000
 VARIANT = "variant_id"
 
 
-def _of_cases(events: DataFrame) -> DataFrame:
-    """Events without a case id are in no case.
-
-    Said here, since every join on the case says it too: the same filter everywhere lets all parts
-    of a query share one shuffle.
-    """
-    return events.where(F.col(TRACE).isNotNull())
-
-
 def fingerprints(events: DataFrame, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """Per case: the fingerprint of its sequence, and further aggregates if asked for."""
-    return sequence(_of_cases(events), keys).groupBy(*keys, TRACE).agg(
+    return sequence(of_cases(events), keys).groupBy(*keys, TRACE).agg(
         F.count("*").alias(PRINT[0]),
         *[F.bit_xor(F.xxhash64(F.lit(salt), POS, ACTIVITY)).alias(name)
           for salt, name in enumerate(PRINT[1:], start=1)],
@@ -82,7 +73,7 @@ def variant_events(
     """
     wanted = chosen.select(*keys, F.col(VARIANT).alias(TRACE), F.col("n").alias("reps"), "n_events")
     by_case = few or not sliced(events)
-    events = _of_cases(events)
+    events = of_cases(events)
     if by_case:
         cases = wanted.drop("n_events")
         events = events.join(F.broadcast(cases) if few else cases, [*keys, TRACE])
@@ -113,45 +104,62 @@ def variant_sequences(
     )
 
 
-def _top(counted: DataFrame, k: int) -> DataFrame:
-    return counted.orderBy(F.desc("n"), VARIANT).limit(k)
+def _top(counted: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The k rows of most cases, of each slice: first of each of SALTS parts of it, then of those few."""
+    order = [F.desc("n"), F.col(VARIANT)]
+    if not keys:
+        return counted.orderBy(*order).limit(k)
+    part = F.pmod(F.xxhash64(VARIANT), F.lit(SALTS)).alias("_part")
+    first = counted.select("*", part).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_rank") <= k)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return first.withColumn("_rank", rank).where(F.col("_rank") <= k).select(*counted.columns)
 
 
-def top_variants(events: DataFrame, k: int = 3) -> DataFrame:
+def top_variants(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The k variants of most cases, ties by `variant_id`.
 
     `variants` only carries counts, so the k rows are found without moving a single sequence.
     """
-    return _top(variants(events), k)
+    return _top(variants(events, keys), k, keys)
 
 
-def variant_frequency(events: DataFrame, k: int = 3) -> DataFrame:
+def _with_total(counted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The counted variants, with the number of cases of their slice."""
+    if not keys:
+        return counted, counted.agg(F.sum("n")).scalar()
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    return counted.join(totals, list(keys)), F.col("_total")
+
+
+def variant_frequency(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The k most frequent variants with their cases counted and START and END around the activities."""
-    return variant_sequences(events, top_variants(events, k), dummies=True, few=True).orderBy(
-        F.desc("n"), VARIANT, SEGMENT)
+    return variant_sequences(events, top_variants(events, k, keys), keys, dummies=True, few=not keys).orderBy(
+        *keys, F.desc("n"), VARIANT, SEGMENT)
 
 
-def variant_relative_frequency(events: DataFrame, k: int = 3) -> DataFrame:
+def variant_relative_frequency(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The k most frequent variants with their share of the cases."""
-    counted = variants(events)
-    total = counted.agg(F.sum("n")).scalar()
-    return variant_sequences(events, _top(counted, k), few=True).withColumn(
-        "share", F.col("n") / total).orderBy(F.desc("n"), VARIANT, SEGMENT)
+    counted, total = _with_total(variants(events, keys), keys)
+    chosen = _top(counted, k, keys)
+    shares = chosen.select(*keys, VARIANT, (F.col("n") / total).alias("share"))
+    found = variant_sequences(events, chosen.select(*keys, VARIANT, "n_events", "n"), keys, few=not keys)
+    return found.join(F.broadcast(shares) if not keys else shares, [*keys, VARIANT]).select(*found.columns, "share").orderBy(
+        *keys, F.desc("n"), VARIANT, SEGMENT)
 
 
-def variant_frequency_with_cases(events: DataFrame, k: int = 3) -> DataFrame:
+def variant_frequency_with_cases(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The k most frequent variants with each of their cases, one per row."""
-    prints = fingerprints(events)
-    top = _top(_counted(prints, ()), k)
-    return prints.join(F.broadcast(top), list(PRINT)).select(VARIANT, "n", TRACE)
+    prints = fingerprints(events, keys)
+    top = _top(_counted(prints, keys), k, keys)
+    return prints.join(F.broadcast(top) if not keys else top, [*keys, *PRINT]).select(*keys, VARIANT, "n", TRACE)
 
 
-def variant_compliance(events: DataFrame, k: int = 3) -> DataFrame:
+def variant_compliance(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """For each top variant: percentage of cases, cases that comply and cases that do not."""
-    counted = variants(events)
-    total = counted.agg(F.sum("n")).scalar()
-    return _top(counted, k).select(
-        VARIANT,
+    counted, total = _with_total(variants(events, keys), keys)
+    return _top(counted, k, keys).select(
+        *keys, VARIANT,
         F.round(F.col("n") / total * 100, 2).alias("percent"),
         F.col("n").alias("compliant"),
         (total - F.col("n")).alias("not_compliant"),

@@ -13,7 +13,7 @@ DIGIT = 20  # bits of the low digit: at most 2**20 different values share a high
 
 
 def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], weight: str | None = None
 ) -> DataFrame:
     """The values of a bigint column at given 0-based ranks of each group, one column per rank.
 
@@ -21,14 +21,15 @@ def values_at_ranks(
     Rows are first counted per distinct value, then per high digit. The running count over the high
     digits says in which one each rank falls, and only the values of that digit are looked at
     again. A window therefore sees high digits or the values of a single digit, never a whole group.
-    Null values do not count; a null key is a group like any other.
+    Null values do not count; a null key is a group like any other. With `weight` a row stands for that
+    many, and there is one row for each value of a group.
     """
     keys = list(keys)
-    counts = (
-        df.groupBy(*keys, value)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_top", F.shiftright(F.col(value), DIGIT))
-    )
+    if weight:
+        counts = df.select(*keys, value, F.col(weight).alias("_n"))
+    else:
+        counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_top", F.shiftright(F.col(value), DIGIT))
     # the join below asks for the same; said here, both of its sides share one scan and shuffle
     for column in [value, "_top"]:
         counts = counts.where(F.col(column).isNotNull())
@@ -60,13 +61,13 @@ def values_at_ranks(
         *[F.max(F.when(F.col("_rank.name") == name, F.col(value))).alias(name) for name in ranks])
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Median per group as `median`; an even count gives the truncated mean of the middle two."""
     half = F.floor(F.col("n") / 2)
     middle = values_at_ranks(df, keys, value, {
         "_upper": half,
         "_lower": F.when(F.col("n") % 2 == 0, half - 1).otherwise(half),
-    })
+    }, weight)
     return middle.select(*keys, F.expr("(_lower + _upper) div 2").alias("median"))
 
 

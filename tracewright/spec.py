@@ -14,12 +14,15 @@ POS = "pos"  # 1-based place of an event in its case
 PART = "case_part"  # slice number of an event of a very large case, null elsewhere
 SEGMENT = "segment"  # which run of `SEGMENT_EVENTS` positions a row of arrays covers
 
+EMPTY = "-"  # fixed value: stands for an empty cell
+
 # Names of the synthetic first and last activity, and how long they last.
 START_TASK = "_START_"
 END_TASK = "_END_"
 DUMMY_MS = 1000
 
-ORDER = (START, SEQ)
+#: Order of the events of a case; logs without a sequence number have the same one everywhere.
+ORDER = (START, SEQ, COMPLETE, ACTIVITY)
 SEGMENT_EVENTS = 100_000
 
 
