@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tracewright.catalog import cleaning, model, reports, sequences, statistics  # noqa: F401
+    from tracewright.catalog import branches, cleaning, model, reports, sequences, statistics  # noqa: F401

@@ -95,6 +95,11 @@ def tag_branches(
     return df.withColumn(BRANCH, F.explode(names))
 
 
+def branch_number() -> Column:
+    """The number of the branch that a slice belongs to; 0 is the whole log."""
+    return F.regexp_extract(BRANCH, r"^(\d+)", 1).cast("int")
+
+
 def run_branches(
     df: DataFrame, branches: Sequence[Sequence[Level]], op: Callable[..., DataFrame],
     only_leaves: bool = False, spec: LogSpec | None = None,
