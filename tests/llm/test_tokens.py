@@ -12,7 +12,7 @@ from tracewright.llm.tokens import Encoder
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 HARD = [
     "", None, " ", "  a", "a  b", "a \n b", "a\n\nb", "it's. I'll, we'd! they'", "ΣΑΣ ΟΔΟΣ. ΣΑΣ", "é É ñ ñ.",
-    "x y z", "a\x1cb \x85 c", "1,000.50 3.", "<|endoftext|> a<|startoftext|>.", "\ttab\r\nend ", "Ünïcödé!!?", "日本語。テスト",
+    "x y z", "a\x1cb \x85 c", "1,000.50 3.", "<|endoftext|> a<|startoftext|>.", "a <|endoftext|> b", "A<|EndOfText|> <|endoftext|><|endoftext|>x", "\ttab\r\nend ", "Ünïcödé!!?", "日本語。テスト",
     "🙂🙂 ok.", "İstanbul.", "ǅ, ß.", "a" * 5000, ". , ;", "word.\nWord, word:Word",
 ]
 
@@ -20,11 +20,10 @@ HARD = [
 @pytest.mark.parametrize("file", FILES)
 def test_same_ids_as_the_library(file):
     draw = random.Random(3)
-    alphabet = ["a", "B", "é", "É", " ", " ", "\n", ".", ",", "'", "s", "7", "Σ", "́", "  ", "-", "ß", "!", "\t", "的"]
+    alphabet = ["a", "B", "é", "É", " ", " ", "\n", ".", ",", "'", "s", "7", "Σ", "́", "  ", "-", "ß", "!", "\t", "的", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>"]
     texts = HARD + ["".join(draw.choices(alphabet, k=draw.randrange(1, 40))) for _ in range(2000)]
     path = tokenizer_path(file)
     encode, library = Encoder(path), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     for _ in range(2):  # cold and warm
         for text, ids in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(ids, encode.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)

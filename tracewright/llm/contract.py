@@ -14,11 +14,15 @@ from tracewright.llm import (
 from tracewright.llm.registry import query, table
 from tracewright.plans.storage import new_path, store
 
-TOKENIZERS = "/opt/tokenizers"
 
 
-def tokenizer_path(name: str, folder: str = TOKENIZERS) -> str:
-    return os.path.join(folder, name)
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A public tokenizer file: in the folder given, else where the package of them has it."""
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 @query()

@@ -19,7 +19,7 @@ class Encoder:
     The tokenizers used here never join the characters on both sides of a single space inside one
     piece, so the library only has to see every distinct chunk between single spaces once; equal
     chunks are looked up. Texts with other runs of white space go to the library whole. Strings of
-    special tokens are ordinary text. None is an empty text.
+    special tokens have no space and are what the library makes of them. None is an empty text.
     """
 
     def __init__(self, path: str):
@@ -29,7 +29,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
@@ -60,8 +59,11 @@ class Encoder:
         known.update((c, known[core] + self._stops[c[len(core):]]) for c, core in cores.items())
 
     def _fold(self, text: str) -> str:
-        """For a tokenizer that lowers letters and drops white space: the same text with fewer different chunks."""
-        if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+        """For a tokenizer that lowers letters and drops white space: the same text with fewer different chunks.
+
+        Special tokens are only those in their own letters, so texts that may have one stay.
+        """
+        if "\u03a3" in text or "<|" in text or not unicodedata.is_normalized("NFC", text):
             return text
         return text.lower().replace("\n", " ")
 
