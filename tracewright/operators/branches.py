@@ -28,7 +28,7 @@ Level = Mapping[str, Sequence | str]
 
 def _marked(value: Column) -> Column:
     """A value with a backslash before the signs that stand between values, so that names of slices differ."""
-    return F.regexp_replace(value, r"([\\\\,=\[\]])", r"\\\\$1")
+    return F.regexp_replace(value, r"([\\,=\[\]])", r"\\$1")
 
 
 def _slices(

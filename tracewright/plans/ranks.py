@@ -68,7 +68,7 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, weight: str | None =
         "_upper": half,
         "_lower": F.when(F.col("n") % 2 == 0, half - 1).otherwise(half),
     }, weight)
-    return middle.select(*keys, F.expr("(_lower + _upper) div 2").alias("median"))
+    return middle.select(*keys, F.expr("(cast(_lower as decimal(20,0)) + cast(_upper as decimal(20,0))) div 2").alias("median"))
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
