@@ -27,7 +27,7 @@ from tracewright.operators.buckets import bucket_equal_width
 from tracewright.operators.cases import longest_shortest_case
 from tracewright.operators.sequence import case_count
 from tracewright.operators.variants import top_variants
-from tracewright.plans.storage import materialize
+from tracewright.plans.storage import materialize, new_path
 
 LOOSE = 0.03
 THRESHOLD = 0.05
@@ -287,6 +287,15 @@ def patterns_many_infrequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scalar(_patterns(spark, sf_dir, "infrequent", THRESHOLDS))
 
 
+@query(_patterns_sql("frequent", [0.1, 0.3]))
+def stored_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grown and kept at a low threshold, then read at higher ones."""
+    log, path = daily(spark, sf_dir), new_path(spark, "patterns")
+    arcs, n_cases = materialize(_arcs(log, M.THRESHOLD)), case_count(log).first()["n_cases"]
+    P.stored_patterns(path, arcs, n_cases, [THRESHOLD])
+    return _scalar(P.stored_patterns(path, arcs, n_cases, [0.1, 0.3]))
+
+
 @query(with_(*DEFAULT_ARCS, _LIMITS.format(THRESHOLD), FREQUENT,
              """nd AS (SELECT DISTINCT mask, unnest([src, dst]) AS node FROM fp JOIN am ON (mask & bit) <> 0)""",
              "ns AS (SELECT mask, count(*) AS n_nodes, string_agg(node, ',' ORDER BY node) AS nodes FROM nd GROUP BY mask)",
