@@ -322,3 +322,20 @@ def test_tool_calls(spark, tools):
     assert tool_calls.format_calls(messages, tools).count() == 16
     assert tool_calls.format_calls(messages.limit(0), tools).count() == 0
     assert tool_calls.format_calls(messages, tools.limit(0)).where("valid").count() == 0
+
+
+def test_shards_of_pieces_that_never_fit_together_stay_small(spark, monkeypatch):
+    """Poor sequences that can not be better are dealt again once, in shards no larger than before, then kept."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", 64)
+    seen = []
+    original = packing._pack_shards
+
+    def watched(items, capacity, level):
+        seen.append(max(r["count"] for r in items.groupBy("shard").count().collect()))
+        return original(items, capacity, level)
+
+    monkeypatch.setattr(packing, "_pack_shards", watched)
+    pieces = spark.range(640).selectExpr("id div 64 as shard", "id % 64 as item", "id", "2500L as length")
+    got = packing.pack(pieces, 4096).collect()
+    assert len({r["sequence_id"] for r in got}) == 640 == len(got)
+    assert len(seen) == 2 and max(seen) < 2 * 64

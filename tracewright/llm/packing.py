@@ -261,7 +261,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add `sequence_id` and `offset` to pieces that have (shard, item) as a key and a `length`.
 
     Every piece gets one place; a sequence holds at most `capacity` and has no gap. Full pieces are
-    sequences of their own. A table without rows gives none. The result depends on the pieces, their
+    sequences of their own. Pieces of badly filled sequences of all shards are dealt to new shards of about
+    SHARD_PIECES and packed again, as long as that saves a sequence. A table without rows gives none. The result depends on the pieces, their
     shards and fixed seeds only.
     """
     if pieces.where(F.col("length") > capacity).limit(1).count():
@@ -270,18 +271,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = pieces.where(F.col("length") == capacity).select(
         "_at", F.col("_at").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     open_items = pieces.where(F.col("length") < capacity).select("shard", F.col("_at").alias("at"), "length")
-    placed, level = full, 0
+    placed, level, handed = full, 0, None
     while True:
         packed = store(_pack_shards(open_items, capacity, level), "packed")
         poor = packed.where(F.col("fill") < GOOD_FILL * capacity)
-        left = poor.agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).first()
-        again = left["shards"] > 1
+        bins = packed.agg(F.count_distinct("sequence_id")).first()[0]
+        left = poor.agg(
+            F.count("*").alias("n"), F.count_distinct("sequence_id").alias("bins"), F.count_distinct("shard").alias("shards")).first()
+        # to deal again only helps where several shards have poor bins, and as long as it saves some
+        again = left["shards"] > 1 and (handed is None or bins < handed)
         chosen = packed.where(F.col("fill") >= GOOD_FILL * capacity) if again else packed
         placed = placed.unionByName(chosen.select(F.col("at").alias("_at"), "sequence_id", "offset"))
         if not again:
             break
-        # fewer shards than before each time, so this ends
-        shards = min(max(1, left["n"] // SHARD_PIECES), max(1, left["shards"] // 2))
-        open_items = store(poor.select(F.pmod(F.xxhash64("at"), F.lit(shards)).alias("shard"), "at", "length"), "poor")
-        level += 1
+        handed, level = left["bins"], level + 1
+        shards = math.ceil(left["n"] / SHARD_PIECES)  # no shard is larger than those before
+        open_items = store(poor.select(
+            F.pmod(F.xxhash64("at", F.lit(level)), F.lit(shards)).alias("shard"), "at", "length"), "poor")
     return pieces.join(placed, "_at").drop("_at")
