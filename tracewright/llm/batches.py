@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,10 +13,23 @@ import pyarrow.compute as pc
 MAX_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return memory that is free but held by the Python worker, which goes on to other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def text_batches(
     batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = MAX_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Pieces of the batches with about `max_bytes` of text each (one row at least), and their texts."""
+    """Pieces of the batches with about `max_bytes` of text each (one row at least), and their texts.
+
+    After the last one the worker gives back what memory it does not use.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -27,3 +42,4 @@ def text_batches(
             piece = batch.slice(at, to - at)
             yield piece, piece.column(piece.schema.get_field_index(text)).to_pylist()
             at = to
+    give_back()
