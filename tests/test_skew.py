@@ -119,7 +119,9 @@ def test_lookup_joins_agree_below_and_above_the_limit(spark, how):
 def test_dimension_joins_agree_below_and_above_the_limit(spark):
     facts = spark.range(200).select((F.col("id") % 7).alias("k"), "id")
     names = spark.range(6).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
-    same(skew.join_dimension(facts, names, "k"), skew.join_dimension(facts, names, "k", limit=1))
+    facts = facts.unionByName(facts.where("id < 20").withColumn("k", F.lit(None).cast("long")))
+    for limit in ({"limit": 1}, {"limit": 1, "hot_rows": 28}, {"limit": 5, "hot_rows": 1}):
+        same(skew.join_dimension(facts, names, "k"), skew.join_dimension(facts, names, "k", **limit))
 
 
 def test_values_at_ranks_by_brute_force(spark):

@@ -12,6 +12,8 @@ from tracewright.catalog.logs import (
 from tracewright.catalog.registry import query
 from tracewright.operators import sequence as S
 from tracewright.operators import variants as V
+from tracewright.plans.storage import new_path
+from tracewright.sources import open_log, save_log
 from tracewright.spec import ACTIVITY, COMPLETE, POS, START, TRACE
 
 EVENT_COLUMNS = (TRACE, ACTIVITY, START, COMPLETE)
@@ -133,3 +135,11 @@ round(100.0 * n / (SELECT count(*) FROM cs), 2) AS percent, n AS compliant,
 (SELECT count(*) FROM cs) - n AS not_compliant FROM tv""")
 def variant_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.variant_compliance(daily(spark, sf_dir))
+
+
+@query(with_(DAILY, SEQUENCE) + f"SELECT pos, {EVENT_SQL} FROM sq")
+def sequence_of_stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log is first stored by case; its events are then numbered without a shuffle."""
+    path = new_path(spark, "by-case")
+    save_log(daily(spark, sf_dir), path)
+    return S.sequence(open_log(spark, path)).select(POS, *EVENT_COLUMNS)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.activity import duration_summary
 from tracewright.operators.sequence import add_dummies, extent_columns, of_cases, segment_of, sequence
-from tracewright.plans.skew import SALTS, sliced
+from tracewright.plans.skew import BROADCAST_ROWS, SALTS, sliced
 from tracewright.spec import ACTIVITY, POS, SEGMENT, SEGMENT_EVENTS, TRACE
 
 PRINT = ("n_events", "_hash_1", "_hash_2")
@@ -124,6 +124,11 @@ def top_variants(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> Dat
     return _top(variants(events, keys), k, keys)
 
 
+def _few(k: int, keys: Sequence[str]) -> bool:
+    """Whether the k first variants can be broadcast."""
+    return not keys and k <= BROADCAST_ROWS
+
+
 def _with_total(counted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     """The counted variants, with the number of cases of their slice."""
     if not keys:
@@ -134,7 +139,7 @@ def _with_total(counted: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Col
 
 def variant_frequency(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The k most frequent variants with their cases counted and START and END around the activities."""
-    return variant_sequences(events, top_variants(events, k, keys), keys, dummies=True, few=not keys).orderBy(
+    return variant_sequences(events, top_variants(events, k, keys), keys, dummies=True, few=_few(k, keys)).orderBy(
         *keys, F.desc("n"), VARIANT, SEGMENT)
 
 
@@ -143,8 +148,9 @@ def variant_relative_frequency(events: DataFrame, k: int = 3, keys: Sequence[str
     counted, total = _with_total(variants(events, keys), keys)
     chosen = _top(counted, k, keys)
     shares = chosen.select(*keys, VARIANT, (F.col("n") / total).alias("share"))
-    found = variant_sequences(events, chosen.select(*keys, VARIANT, "n_events", "n"), keys, few=not keys)
-    return found.join(F.broadcast(shares) if not keys else shares, [*keys, VARIANT]).select(*found.columns, "share").orderBy(
+    few = _few(k, keys)
+    found = variant_sequences(events, chosen.select(*keys, VARIANT, "n_events", "n"), keys, few=few)
+    return found.join(F.broadcast(shares) if few else shares, [*keys, VARIANT]).select(*found.columns, "share").orderBy(
         *keys, F.desc("n"), VARIANT, SEGMENT)
 
 
@@ -152,7 +158,7 @@ def variant_frequency_with_cases(events: DataFrame, k: int = 3, keys: Sequence[s
     """The k most frequent variants with each of their cases, one per row."""
     prints = fingerprints(events, keys)
     top = _top(_counted(prints, keys), k, keys)
-    return prints.join(F.broadcast(top) if not keys else top, [*keys, *PRINT]).select(*keys, VARIANT, "n", TRACE)
+    return prints.join(F.broadcast(top) if _few(k, keys) else top, [*keys, *PRINT]).select(*keys, VARIANT, "n", TRACE)
 
 
 def variant_compliance(events: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:

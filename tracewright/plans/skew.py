@@ -12,7 +12,7 @@ from tracewright.plans.storage import store
 from tracewright.spec import ORDER, PART, SEQ, START, TRACE
 
 HOT_CASE_EVENTS = 1_000_000  # a case above this is sliced, and a slice holds about as many events
-HOT_KEYS = 1000
+HOT_KEY_ROWS = 1_000_000  # a key of more rows is joined apart
 BROADCAST_ROWS = 200_000
 SALTS = 64
 _WHOLE = {"slices": False}  # metadata of a slice column that holds no slices
@@ -146,18 +146,20 @@ def join_lookup(
 
 
 def join_dimension(
-    facts: DataFrame, dimension: DataFrame, key: str, limit: int = BROADCAST_ROWS
+    facts: DataFrame, dimension: DataFrame, key: str, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_KEY_ROWS
 ) -> DataFrame:
     """Inner join with a table of unique keys of any size, when some keys may be hot in the facts.
 
-    A dimension of up to `limit` rows is broadcast. From a larger one only the rows of the most
-    frequent keys are, HOT_KEYS at most; all other keys go through an ordinary join that no
-    single key dominates any more.
+    A dimension of up to `limit` rows is broadcast. Of a larger one, the rows of keys with more than
+    `hot_rows` facts are looked up apart; the keys are counted exactly, so there are at most as many
+    as facts divided by that. All other keys go through an ordinary join that no single key dominates any more.
     """
     if dimension.count() <= limit:
         return facts.join(F.broadcast(dimension), key)
-    top = facts.agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, 10000)").alias("top")).first()["top"]
-    hot = [r["item"] for r in top]
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return facts.where(is_hot).join(F.broadcast(dimension.where(is_hot)), key).unionByName(
-        facts.where(~is_hot).join(dimension.where(~is_hot), key))
+    hot = store(facts.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(key), "hot-keys")
+    n = hot.count()
+    if not n:
+        return facts.join(dimension, key)
+    looked_up = join_lookup(facts, join_lookup(dimension, hot, [key], "left_semi", rows=n), [key], limit=limit, rows=n)
+    others = join_lookup(facts, hot, [key], "left_anti", rows=n).join(dimension, key)
+    return looked_up.unionByName(others)
