@@ -14,7 +14,7 @@ MAX_BYTES = 4 << 20
 
 
 def give_back() -> None:
-    """Return memory that is free but held by the Python worker, which goes on to other stages."""
+    """Return memory that is free but held by the Python worker, which may have worked for other stages before."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -26,10 +26,7 @@ def give_back() -> None:
 def text_batches(
     batches: Iterable[pa.RecordBatch], text: str = "text", max_bytes: int = MAX_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Pieces of the batches with about `max_bytes` of text each (one row at least), and their texts.
-
-    After the last one the worker gives back what memory it does not use.
-    """
+    """Pieces of the batches with about `max_bytes` of text each (one row at least), and their texts."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -42,4 +39,3 @@ def text_batches(
             piece = batch.slice(at, to - at)
             yield piece, piece.column(piece.schema.get_field_index(text)).to_pylist()
             at = to
-    give_back()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import text_batches
+from tracewright.llm.batches import give_back, text_batches
 from tracewright.llm.tokens import encoder
 from tracewright.plans.storage import store
 
@@ -44,6 +44,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         first, made = TaskContext.get().partitionId() << 24, 0
