@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 250_000  # chunks remembered by a Python worker in each of two tables, about 200 bytes each
+CACHE_ENTRIES = 600_000  # chunks remembered by a Python worker in each of two tables, about 200 bytes each
 _STOPS = ".,;:!?"
 _NOT_SINGLE_SPACES = re.compile(r"\s\s")
 
