@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewright import catalog
 from tracewright.catalog import logs
 from tracewright.operators import activity, arcs, branches, cases, cleaning, model, sequence, variants
+from tracewright.plans.storage import materialize
 from tracewright.sources import load_log
 
 
@@ -83,3 +84,23 @@ def test_map_only_queries_compute_nothing_ahead(spark, sf_dir):
 
 def test_a_log_is_sliced_once_for_all_queries(spark, sf_dir):
     assert logs.daily(spark, sf_dir) is logs.daily(spark, sf_dir)
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    """Without adaptive execution a plan shows which shuffles are used twice."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_arcs_of_cases_are_not_shuffled_by_arc(stored):
+    edges = materialize(model.dependency_graph(stored, 0.1))
+    text = plan(arcs.case_arcs(stored, edges))
+    keys = re.findall(r"Arguments: hashpartitioning\(([^)]*), \d+\)", text)
+    assert keys and not any("src" in k or "dst" in k for k in keys if "trace" in k or "variant_id" in k)
+
+
+def test_durations_come_from_one_table_of_counts(stored, fixed_plans):
+    text = plan(activity.activity_durations(stored))
+    assert len(re.findall(r"^\(\d+\) Scan parquet", text, flags=re.M)) == 1 and "ReusedExchange" in text

@@ -18,14 +18,15 @@ QUARTILE_GAP_MS = 1  # a slice starts this long after the one before it ends
 def duration_summary(value: str, weight: str | None = None) -> list[Column]:
     """Mean (truncated), max, min, deviation and total of a bigint column, and the total as a decimal (`_total`).
 
-    With `weight` a row stands for that many. The deviation is taken around the truncated mean m, from
+    With `weight` a row stands for that many, and a row of weight 0 for none. The deviation is taken around the truncated mean m, from
     sums of integers: the sum of (x - m)^2 is sum(x^2) - 2 m sum(x) + n m^2. That needs one pass and gives
     the same however rows are split over tasks. Where a term passes 38 digits, the variance in floating
     point takes its place. Sums are decimals, so that only `total` itself is null if it is beyond a bigint.
     """
     wide = "decimal(38,0)"
-    x = F.col(value).cast("decimal(19,0)")
-    w = F.when(F.col(value).isNotNull(), F.col(weight)).cast("decimal(19,0)") if weight else None
+    counted = F.when(F.col(weight) > 0, F.col(value)) if weight else F.col(value)
+    x = counted.cast("decimal(19,0)")
+    w = F.when(counted.isNotNull(), F.col(weight)).cast("decimal(19,0)") if weight else None
     total = F.sum((x * w if weight else x).cast(wide))
     n = F.coalesce(F.sum(w), F.lit(0)).cast("long") if weight else F.count(value)
     truncated = F.when(n > 0, _div(total, n))
@@ -34,7 +35,7 @@ def duration_summary(value: str, weight: str | None = None) -> list[Column]:
     squares = F.try_add(
         F.try_subtract(F.try_sum(square), F.try_multiply(F.try_multiply(m, F.lit(2).cast(wide)), total)),
         F.try_multiply(n.cast(wide), F.try_multiply(m, m)))
-    y = F.col(value).cast("double")
+    y = counted.cast("double")
     mean = total.cast("double") / n
     if weight:
         floating = F.sum(y * y * F.col(weight)) / n - mean * mean + F.pow(mean - truncated, 2)
@@ -42,8 +43,8 @@ def duration_summary(value: str, weight: str | None = None) -> list[Column]:
         floating = F.var_pop(value) + F.pow(mean - truncated, 2)
     return [
         truncated.alias("mean"),
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
+        F.max(counted).alias("max"),
+        F.min(counted).alias("min"),
         F.sqrt(F.coalesce(squares.cast("double") / n, floating)).alias("deviation"),
         total.try_cast("long").alias("total"),
         total.alias("_total"),
@@ -140,9 +141,11 @@ def activity_durations(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     from the running counts of its high digits.
     """
     by = [*keys, ACTIVITY]
-    counts = _with_duration(events).groupBy(*by, "duration").agg(F.count("*").alias("_events"))
-    averages = counts.groupBy(*by).agg(*duration_summary("duration", "_events")).drop("_total")
-    middle = medians(counts, by, "duration", "_events").withColumnsRenamed({c: f"_of_{c}" for c in by})
+    # unknown durations are rows of no weight: a filter on them would make two tables of it
+    value = F.coalesce("duration", F.lit(0).cast("long")).alias("_value")
+    counts = _with_duration(events).groupBy(*by, value).agg(F.count("duration").alias("_known"))
+    averages = counts.groupBy(*by).agg(*duration_summary("_value", "_known")).drop("_total")
+    middle = medians(counts.where("_known > 0"), by, "_value", "_known").withColumnsRenamed({c: f"_of_{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
     return averages.join(middle, same, "left").select(*averages.columns, "median").orderBy(
         *keys, F.desc("mean"), ACTIVITY)

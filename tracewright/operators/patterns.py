@@ -298,30 +298,32 @@ class Sets:
 def closed_patterns(sets: Sets) -> DataFrame:
     """`arcs, n, other, n_cases`: connected closures, with the largest number of cases that hold one arc more.
 
-    A round is two jobs: candidates are counted, and their closures written with each arc more.
+    A round is one table: candidates counted, with their closures, from which the next ones follow.
     """
     graph, keys, mask, of = sets.graph, sets.keys, _words("c", sets.graph), _words("p", sets.graph)
-    around, part = graph.around, graph.part
+    around, part, members = graph.around, graph.part, graph.members
     patterns, rows = sets.derived(sets.starts, ["arc"], lambda i: [(1 << i,)], ["c"]), sets.starts.count()
-    grown, known = [], []
+
+    def onto(c: int, k: int) -> Iterator[tuple[int]]:
+        whole = part(k, c)
+        return ((whole | 1 << i,) for i in members(around(whole)))
+
+    frequent = sets.reaches(F.col("n"), F.lit(sets.least))
+    known: list[DataFrame] = []
     while rows:
-        counted = sets.counted(patterns, rows)
-        known.append(counted)
-        frequent = counted.where(sets.reaches(F.col("n"), F.lit(sets.least)))
-        whole = sets.derived(frequent, ["c", "k", "n", "n_cases"], lambda c, k, n, m: [(part(k, c), n, m)], ["p"], ["n", "n_cases"]).distinct()
-        if grown:
-            whole = whole.join(sets.union(grown).select(*keys, *of).distinct(), [*keys, *of], "left_anti")
-        # the closure itself, then beside each arc more
-        wider = store(sets.derived(whole, ["p", "n", "n_cases"], lambda p, n, m: [
-            (p, p, n, m), *[(p, p | 1 << i, n, m) for i in graph.members(around(p))]], ["p", "c"], ["n", "n_cases"]), "wider")
-        grown.append(wider)
-        rows = wider.count()
-        patterns = wider.select(*keys, *mask).join(sets.union(known), [*keys, *mask], "left_anti")
-    if not grown:
+        known.append(sets.counted(patterns, rows))
+        new = known[-1].where(frequent)
+        patterns = sets.derived(new, ["c", "k"], onto, ["c"]).join(sets.union(known), [*keys, *mask], "left_anti")
+        rows = new.count() * len(graph.arcs)  # the most there can be
+    if not known:
         return sets.named(sets.derived(sets.starts.where("false"), ["arc"], lambda i: [], ["c"], ["n", "other", "n_cases"]), "n", "other", "n_cases")
+    counted = sets.union(known)
+    whole = sets.derived(counted.where(frequent), ["c", "k", "n", "n_cases"], lambda c, k, n, m: [(part(k, c), n, m)], ["p"], ["n", "n_cases"])
+    # the closure itself, then beside each arc more
+    wider = sets.derived(whole.distinct(), ["p", "n", "n_cases"], lambda p, n, m: [
+        (p, p, n, m), *[(p, p | 1 << i, n, m) for i in members(around(p))]], ["p", "c"], ["n", "n_cases"])
     itself = reduce(lambda a, b: a & b, [F.col(p) == F.col(c) for p, c in zip(of, mask, strict=True)])
-    counts = sets.union(known).select(*keys, *mask, F.col("n").alias("_n"))
-    more = sets.union(grown).withColumn("_itself", itself).join(counts, [*keys, *mask], "left")
+    more = wider.withColumn("_itself", itself).join(counted.select(*keys, *mask, F.col("n").alias("_n")), [*keys, *mask], "left")
     largest = more.groupBy(*keys, *of).agg(
         F.max("n").alias("n"), F.coalesce(F.max(F.when(~F.col("_itself"), F.col("_n"))), F.lit(0).cast("long")).alias("other"),
         F.max("n_cases").alias("n_cases")).withColumnsRenamed(dict(zip(of, mask, strict=True)))
