@@ -45,12 +45,13 @@ INSULTS = frozenset(
     "bastard clown coward disgusting dumb filth freak fool garbage idiot imbecile jerk loser moron pathetic pig scum "
     "stupid trash ugly useless vermin worthless".split())
 _WORD = re.compile(r"[^\W\d_]+")
+#: Each with words of which the text needs one, or a simpler pattern that it needs: most texts are done with then.
 _PATTERNS = [
-    re.compile(r"\b(?:you|you're|u) (?:are |r )?(?:a|an|all|so|such|nothing)\b", re.I),  # address
-    re.compile(r"\b\w+[*@#$]{2,}\w*"),  # masked words
-    re.compile(r"[!?]{3,}"),  # agitation
-    re.compile(r"\b[A-Z]{4,}(?:\W+[A-Z]{4,}){2}\b"),  # shouting
-    re.compile(r"\b(?:shut up|get lost|go away|drop dead)\b", re.I),  # dismissal
+    (re.compile(r"\b(?:you|you're|u) (?:are |r )?(?:a|an|all|so|such|nothing)\b", re.I), {"you", "u"}),  # address
+    (re.compile(r"\b\w+[*@#$]{2,}\w*"), re.compile(r"[*@#$]{2}")),  # masked words
+    (re.compile(r"[!?]{3,}"), re.compile(r"[!?]{3}")),  # agitation
+    (re.compile(r"\b[A-Z]{4,}(?:\W+[A-Z]{4,}){2}\b"), re.compile(r"[A-Z]{4}")),  # shouting
+    (re.compile(r"\b(?:shut up|get lost|go away|drop dead)\b", re.I), {"shut", "lost", "away", "dead"}),  # dismissal
 ]
 VOTERS = 2 * LEXICONS + 3 + len(_PATTERNS)
 
@@ -69,19 +70,30 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def find_entries(words: Sequence[str], lexicon: dict[str, int]) -> tuple[Counter, set[str]]:
+class Lexicon(dict):
+    """Numbers of entries, and the beginnings that a word needs to count for any."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__(numbers)
+        self.beginnings = {form.rstrip("-")[:STEMS[0]] for form in numbers}
+
+
+def find_entries(words: Counter, lexicon: Lexicon) -> tuple[Counter, set[str]]:
     """How often each entry (by number) occurs, and the words that have any."""
-    counts, carriers = Counter(), set()
-    for word, n in Counter(words).items():
+    counts, carriers, first = Counter(), set(), STEMS[0]
+    beginnings = lexicon.beginnings
+    for word in [w for w in words if w[:first] in beginnings]:
         for form in _forms(word):
             at = lexicon.get(form)
             if at is not None:
-                counts[at] += n
+                counts[at] += words[word]
                 carriers.add(word)
     return counts, carriers
 
 
-def votes(text: str | None, words: Sequence[str], entries: Counter, carriers: set[str], voter_of: Sequence[int]) -> set[int]:
+def votes(
+    text: str | None, words: Sequence[str], known: Counter, entries: Counter, carriers: set[str], voter_of: Sequence[int]
+) -> set[int]:
     """The voters that fire: lexicons by the entries found, then cluster, density, fixed lexicon, patterns."""
     fired = {voter_of[e] for e in entries}
     after = 2 * LEXICONS
@@ -91,10 +103,12 @@ def votes(text: str | None, words: Sequence[str], entries: Counter, carriers: se
             fired.add(after)
         if len(places) >= DENSE * len(words):
             fired.add(after + 1)
-    if not INSULTS.isdisjoint(words):
+    if not INSULTS.isdisjoint(known):
         fired.add(after + 2)
     if text:
-        fired.update(after + 3 + i for i, p in enumerate(_PATTERNS) if p.search(text))
+        for i, (pattern, needed) in enumerate(_PATTERNS):
+            if (not needed.isdisjoint(known) if isinstance(needed, set) else needed.search(text)) and pattern.search(text):
+                fired.add(after + 3 + i)
     return fired
 
 
@@ -198,16 +212,17 @@ def fit_linear(rows: Sequence[tuple[Sequence[int], Sequence[float], float, int]]
 class Model:
     """Entries with their numbers, the voter of each, and weights of entries, then votes, then none."""
 
-    lexicon: dict[str, int]
+    lexicon: Lexicon
     voter_of: list[int]
     label_model: LabelModel
     weights: np.ndarray
 
 
-def _features(text: str | None, lexicon: dict[str, int], voter_of: Sequence[int]) -> tuple[list[int], list[float], set[int]]:
+def _features(text: str | None, lexicon: Lexicon, voter_of: Sequence[int]) -> tuple[list[int], list[float], set[int]]:
     words = _words(text)
-    entries, carriers = find_entries(words, lexicon)
-    fired = votes(text, words, entries, carriers, voter_of)
+    known = Counter(words)
+    entries, carriers = find_entries(known, lexicon)
+    fired = votes(text, words, known, entries, carriers, voter_of)
     columns = [*entries, *[len(lexicon) + v for v in fired]]
     return columns, [*[float(np.log1p(n)) for n in entries.values()], *[1.0] * len(fired)], fired
 
@@ -228,7 +243,7 @@ def _forms_of(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFra
     return counted.groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(texts: DataFrame) -> tuple[dict[str, int], float]:
+def learn_lexicon(texts: DataFrame) -> tuple[Lexicon, float]:
     """Entries that go with toxic texts, numbered in order of the alphabet, and the share of toxic texts.
 
     `texts` has text and label (0 or 1); equal ones count once. First toxic texts are counted: an entry has to be in LEAST_SHARE of
@@ -239,7 +254,7 @@ def learn_lexicon(texts: DataFrame) -> tuple[dict[str, int], float]:
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
-        return {}, PRIOR
+        return Lexicon({}), PRIOR
     common = {r["form"]: r["n"] for r in _forms_of(texts.where("label = 1")).where(F.col("n") >= max(2, LEAST_SHARE * toxic)).collect()}
     rest = {r["form"]: r["n"] for r in _forms_of(texts.where("label = 0"), frozenset(common)).collect()}
 
@@ -248,7 +263,7 @@ def learn_lexicon(texts: DataFrame) -> tuple[dict[str, int], float]:
         return odds >= LEAST_LOG_ODDS and odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= LEAST_Z
 
     chosen = sorted(form for form, a in common.items() if telling(a, rest.get(form, 0)))
-    return {form: i for i, form in enumerate(chosen)}, min(max(toxic / (toxic + other), 0.001), 0.5)
+    return Lexicon({form: i for i, form in enumerate(chosen)}), min(max(toxic / (toxic + other), 0.001), 0.5)
 
 
 def deal(lexicon: dict[str, int]) -> list[int]:
@@ -256,7 +271,7 @@ def deal(lexicon: dict[str, int]) -> list[int]:
     return [zlib.crc32(form.encode()) % LEXICONS + LEXICONS * form.endswith("-") for form in sorted(lexicon, key=lexicon.get)]
 
 
-def _count_votes(batches: Iterator[pa.RecordBatch], lexicon: dict[str, int], voter_of: list[int]) -> Iterator[pa.RecordBatch]:
+def _count_votes(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, voter_of: list[int]) -> Iterator[pa.RecordBatch]:
     """Of batches of texts, on how many two voters fire together; the number of texts is at (-1, -1)."""
     for _, texts in text_batches(batches):
         fired = [sorted(_features(t, lexicon, voter_of)[2]) for t in texts]
@@ -267,7 +282,7 @@ def _count_votes(batches: Iterator[pa.RecordBatch], lexicon: dict[str, int], vot
             [pa.array(np.r_[-1, a]), pa.array(np.r_[-1, b]), pa.array(np.r_[len(texts), (table.T @ table).ravel()])], names=["a", "b", "n"])
 
 
-def _describe(batches: Iterator[pa.RecordBatch], lexicon: dict[str, int], voter_of: list[int]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, voter_of: list[int]) -> Iterator[pa.RecordBatch]:
     for _, texts in text_batches(batches):
         columns, values, fired = zip(*(_features(t, lexicon, voter_of) for t in texts), strict=True)
         yield pa.RecordBatch.from_arrays(
