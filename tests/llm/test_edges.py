@@ -141,6 +141,33 @@ def test_every_pair_of_a_bucket_that_links_is_found(spark):
     assert len(tested) == len(set(tested)) < 300
 
 
+def test_frequent_tokens_of_unlike_sets_make_no_pairs(spark):
+    """Every token is in many sets, so a join on tokens alone gives all 1,770 pairs."""
+    sets = [random.Random(i).sample(range(300), 60) for i in range(59)]
+    sets.append([*sets[0][:57], 301, 302, 303])  # 57 of 63 are shared
+    tokens = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "rid long, token long")
+    none = spark.createDataFrame([], "node long, root long")
+    assert rows(linking.rare_token_pairs(tokens, none, 80), "a", "b") == [(0, 59)]
+    same = spark.createDataFrame([(0, 0), (59, 0)], "node long, root long")
+    assert rows(linking.rare_token_pairs(tokens, same, 80), "a", "b") == []
+
+
+def test_parities_never_differ_more_than_sets():
+    draw = random.Random(4)
+    for _ in range(200):
+        a = {draw.randrange(1 << 63) for _ in range(draw.randrange(1, 200))}
+        b = {x for x in a if draw.random() < 0.9} | {draw.randrange(1 << 63) for _ in range(draw.randrange(0, 20))}
+        pa, pb = (minhash.parity(np.array(sorted(x), np.uint64)).view(np.uint64) for x in (a, b))
+        assert sum(int(x).bit_count() for x in pa ^ pb) <= len(a ^ b)
+
+
+def test_groups_joined_by_later_links(spark):
+    """Links found in a later round join whole groups found before."""
+    keys = spark.createDataFrame([(1, 1), (1, 5), (2, 2), (2, 6), (3, 5), (3, 6), (4, 6), (4, 9)], "key long, rid long")
+    got = dict(rows(linking.group_similar(keys, lambda p: p, lambda items: None, 80), "node", "root"))
+    assert got == {i: 1 for i in (1, 2, 5, 6, 9)}
+
+
 def test_shared_keys_over_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

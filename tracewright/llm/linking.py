@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import materialize, store
 
+SKETCH = 8  # longs of 64 bits that stand for a set
+
 
 def _same(before: tuple, after: DataFrame) -> tuple[bool, tuple]:
     row = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -106,21 +108,29 @@ def rare_token_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
     `sets` has (rid, token), distinct; `groups` (node, root). In the order of rising frequency, two
     sets that similar share one of their first n - ceil(percent * n / 100) + 1 tokens, so only those
     are joined, and of these only tokens that another set has. In families of items that share a core
-    but are not similar enough the first tokens are each item's own, which leaves few pairs.
+    but are not similar enough the first tokens are each item's own, which leaves few pairs. Each item
+    also has the parity of its tokens in SKETCH longs: two sets differ in at least as many tokens as
+    their parities do in bits, so the join itself drops pairs that differ too much, however frequent the token.
     """
     sets = store(sets, "sets")
     times = sets.groupBy("token").agg(F.count("*").alias("_times"))
-    first = sets.join(times, "token").groupBy("rid").agg(
+    bit = F.xxhash64("token")
+    parities = [F.bit_xor(F.when(F.pmod(bit, F.lit(SKETCH)) == i, F.expr("shiftleft(1L, cast(pmod(shiftright(_bit, 16), 64) as int))"))
+                          .otherwise(F.lit(0).cast("long"))).alias(f"_p{i}") for i in range(SKETCH)]
+    first = sets.join(times, "token").withColumn("_bit", bit).groupBy("rid").agg(
         F.count("*").alias("_n"), F.count_if(F.col("_times") == 1).alias("_own"),
-        F.sort_array(F.collect_list(F.when(F.col("_times") > 1, F.struct("_times", "token")))).alias("_shared"))
+        F.sort_array(F.collect_list(F.when(F.col("_times") > 1, F.struct("_times", "token")))).alias("_shared"), *parities)
     length = F.col("_n") - F.floor((F.col("_n") * percent + 99) / 100) + 1 - F.col("_own")
+    bits = [f"_p{i}" for i in range(SKETCH)]
     prefix = first.where(length > 0).select(
-        "rid", F.explode(F.slice("_shared", F.lit(1), length.cast("int"))["token"]).alias("token"))
-    prefix = store(prefix.join(_small(groups).withColumnRenamed("node", "rid"), "rid", "left").select(
-        "token", "rid", F.coalesce("root", "rid").alias("root")), "prefixes")
-    other = prefix.select("token", F.col("rid").alias("_o"), F.col("root").alias("_ro"))
-    return prefix.join(other, "token").where("root < _ro").select(
-        F.least("rid", "_o").alias("a"), F.greatest("rid", "_o").alias("b")).distinct()
+        "rid", "_n", *bits, F.explode(F.slice("_shared", F.lit(1), length.cast("int"))["token"]).alias("token"))
+    prefix = store(prefix.join(_small(groups).toDF("rid", "root"), "rid", "left").withColumn(
+        "root", F.coalesce("root", "rid")), "prefixes")
+    other = prefix.select("token", *[F.col(c).alias(f"_o{c}") for c in ("rid", "root", "_n", *bits)])
+    differ = " + ".join(f"bit_count({c} ^ _o{c})" for c in bits)
+    return prefix.join(other, "token").where(
+        f"root < _oroot and 100 * least(_n, _o_n) >= {percent} * greatest(_n, _o_n) and {100 + percent} * ({differ}) <= {100 - percent} * (_n + _o_n)").select(
+        F.least("rid", "_orid").alias("a"), F.greatest("rid", "_orid").alias("b")).distinct()
 
 
 def group_similar(
@@ -155,17 +165,22 @@ def group_similar(
             known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left").where(
             F.coalesce("_ra", "a") != F.coalesce("_rb", "b"))
 
+    def by_roots(pairs: DataFrame) -> DataFrame:
+        return with_roots(pairs).select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+
     def grow(pairs: DataFrame) -> None:
-        """Verify the pairs of two groups that were not verified before."""
-        nonlocal tested, links, roots
+        """Verify the pairs of two groups that were not verified before; only groups are joined by what is new."""
+        nonlocal tested, roots
         pairs = store(with_roots(pairs.join(tested, ["a", "b"], "left_anti")).select("a", "b"), "pairs")
         if pairs.isEmpty():
             return
         new = store(verify(pairs), "links")
         tested = tested.unionByName(pairs)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = store(connected_components(links), "roots")
+            joined = store(connected_components(by_roots(new)), "joined-roots")
+            known = roots.join(_small(joined).toDF("root", "_top"), "root", "left").select(
+                "node", F.coalesce("_top", "root").alias("root"))
+            roots = store(known.unionByName(joined.join(roots.select("node"), "node", "left_anti")), "roots")
 
     grow(stars.select("a", "b"))
     apart = store(with_roots(stars.select("a", "b")).select(F.col("a").alias("leader"), F.col("b").alias("rid")), "apart")

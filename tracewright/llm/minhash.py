@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import text_batches
-from tracewright.llm.linking import group_similar
+from tracewright.llm.batches import REMEMBERED, text_batches
+from tracewright.llm.linking import SKETCH, group_similar
 from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import store
 
@@ -30,6 +30,7 @@ _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 1 << 63, 2 * MEMBERS * HALF, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _known: dict[bytes, int] = {}
+REMEMBERED.append(_known)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,6 +77,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(tuples + np.arange(2 * MEMBERS, dtype=np.uint64))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH longs; two sets differ in at least as many shingles as these do in bits."""
+    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = THRESHOLD) -> bool:
     """100 * intersection >= percent * union, of sorted distinct numbers."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)) or not len(a):
@@ -87,18 +94,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = THRESHOLD) -> bool:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            counts, digests, tuples = [], [], []
+            counts, digests, tuples, sketches = [], [], [], []
             for text in texts:
                 shingles = shingle_set(text, size)
                 counts.append(len(shingles))
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 tuples.append(signature(shingles).view(np.int64) if len(shingles) else None)
+                sketches.append(parity(shingles))
             high, low = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
             keep = batch.select(["rid", "doc_id", "text_hash"])
             yield pa.RecordBatch.from_arrays(
                 [*keep.columns, pa.array(counts, pa.int64()), pa.array(high), pa.array(low),
-                 pa.array(tuples, pa.list_(pa.int64()))],
-                names=["rid", "doc_id", "text_hash", "n_shingles", "set_high", "set_low", "tuples"])
+                 pa.array(tuples, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["rid", "doc_id", "text_hash", "n_shingles", "set_high", "set_low", "tuples", "sketch"])
 
     return run
 
@@ -146,7 +154,7 @@ def near_duplicates(
         "text_hash", F.xxhash64("text"))
     signed = store(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
         _sign(shingle_words),
-        "rid long, doc_id long, text_hash long, n_shingles long, set_high long, set_low long, tuples array<long>"),
+        "rid long, doc_id long, text_hash long, n_shingles long, set_high long, set_low long, tuples array<long>, sketch array<long>"),
         "signatures")
     filled = signed.where("n_shingles > 0")
     classes = store(filled.groupBy("set_high", "set_low").agg(
@@ -169,9 +177,12 @@ def near_duplicates(
         return texts_of(items).mapInArrow(_tokens(shingle_words), "rid long, token long")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sizes = named.select("rid", "n_shingles")
-        sized = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b").where(
-            100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")).select("a", "b")
+        known = named.select("rid", "n_shingles", "sketch")
+        # no more tokens can differ than a similarity of `percent` allows
+        differ = " + ".join(f"bit_count(_sa[{i}] ^ _sb[{i}])" for i in range(SKETCH))
+        sized = pairs.join(known.toDF("a", "_na", "_sa"), "a").join(known.toDF("b", "_nb", "_sb"), "b").where(
+            f"100 * least(_na, _nb) >= {percent} * greatest(_na, _nb) and "
+            f"{100 + percent} * ({differ}) <= {100 - percent} * (_na + _nb)").select("a", "b")
         sized = store(sized, "sized")
         texts = texts_of(sized.select("a").union(sized.select("b")).distinct().toDF("rid"))
         full = sized.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
