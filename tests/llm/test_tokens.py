@@ -27,3 +27,31 @@ def test_same_ids_as_the_library(file):
     for _ in range(2):  # cold and warm
         for text, ids in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(ids, encode.dtype).tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_asked_together_and_in_small_calls():
+    """Answers of the library are large: one call for all new words of a batch took hundreds of MB."""
+    path = tokenizer_path("word_bpe_49k.json")
+    encode, library = Encoder(path), Tokenizer.from_file(path)
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kind):
+            calls.append(len(texts))
+            return library.encode_batch_fast(texts, **kind)
+
+    encode._library = Counted()
+    words = ["".join(random.Random(i).choices("abcdeéñ的", k=9)) for i in range(3000)]
+    numbers = [f"x{i}y" for i in range(5000)]
+    got = np.frombuffer(encode([" ".join(words + numbers)])[0], encode.dtype).tolist()
+    assert got == library.encode(" ".join(words + numbers), add_special_tokens=False).ids
+    assert max(calls) <= 4096 and sum(calls) < 5100
+
+
+def test_what_workers_remember_goes():
+    from tracewright.llm import batches, minhash
+
+    minhash.shingle_set("a b c")
+    assert minhash._known
+    batches.give_back()
+    assert not minhash._known

@@ -46,9 +46,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         encode = encoder(tokenizer)
+        give_back()  # what reading the tokenizer's file took
         end = np.array([end_id], encode.dtype).tobytes()
         first, made = TaskContext.get().partitionId() << 24, 0
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, max_bytes=1 << 20):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 wide = np.frombuffer(ids + end, encode.dtype).astype("<u4")

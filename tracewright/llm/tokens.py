@@ -9,6 +9,8 @@ from functools import lru_cache
 import numpy as np
 
 CACHE_ENTRIES = 600_000  # chunks remembered by a Python worker in each of two tables, about 200 bytes each
+_ASKED = 4096  # chunks in one call of the library, whose answers are about 1 kB each
+_TOGETHER = 200  # words in one text of such a call
 _STOPS = ".,;:!?"
 _NOT_SINGLE_SPACES = re.compile(r"\s\s")
 
@@ -34,10 +36,33 @@ class Encoder:
         self._later: dict[str, bytes] = {}
         self._stops: dict[str, bytes] = {}
         self._folds = self._ask(["A\nB "]) == self._ask(["a b"])
+        # a tokenizer that marks the last id of a word, whatever stands around the word
+        suffix = getattr(self._library.model, "end_of_word_suffix", None)
+        self._ends = None
+        if suffix and self._folds and self._ask([" a b"]) == [b"".join(self._ask(["a", "b"]))]:
+            self._ends = np.zeros(self._library.get_vocab_size(), bool)
+            self._ends[[i for token, i in self._library.get_vocab().items() if token.endswith(suffix)]] = True
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        encode, answers = self._library.encode_batch_fast, []
+        for at in range(0, len(texts), _ASKED):
+            answers += [np.array(e.ids, self.dtype).tobytes() for e in encode(texts[at:at + _ASKED], add_special_tokens=False)]
+        return answers
+
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """As `_ask`, for words of letters only: many go to the library as one text and are told apart by their last ids."""
+        groups = [words[at:at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
+        answers = []
+        for group, ids in zip(groups, self._ask([" ".join(g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self._ends[np.frombuffer(ids, self.dtype)]) + 1) * self.dtype.itemsize
+            if len(ends) != len(group):
+                answers += self._ask(group)
+                continue
+            at = 0
+            for end in ends.tolist():
+                answers.append(ids[at:end])
+                at = end
+        return answers
 
     def _learn(self, known: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         new = chunks.difference(known)
@@ -53,6 +78,10 @@ class Encoder:
             if core and core != chunk and core[-1].isalpha():
                 cores[chunk] = core
         ask = list(new.difference(cores).union(cores.values()).difference(known))
+        if self._ends is not None:
+            words = [c for c in ask if c.isalpha()]
+            known.update(zip(words, self._ask_words(words), strict=True))
+            ask = [c for c in ask if not c.isalpha()]
         known.update(zip(ask, self._ask([prefix + c for c in ask]), strict=True))
         tails = {c[len(core):] for c, core in cores.items()}.difference(self._stops)
         self._stops.update(zip(tails, self._ask(list(tails)), strict=True))
