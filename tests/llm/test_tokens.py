@@ -55,3 +55,24 @@ def test_what_workers_remember_goes():
     assert minhash._known
     batches.give_back()
     assert not minhash._known
+
+
+def test_chunks_behind_spaces_are_asked_together():
+    path = tokenizer_path("byte_bpe_50k.json")
+    encode, library = Encoder(path), Tokenizer.from_file(path)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kind):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **kind)
+
+    encode._library = Counted()
+    words = ["".join(random.Random(i).choices("abcdeéñ的 1'.-\n\u0120", k=9)) for i in range(3000)]
+    words = " ".join(words).split()
+    odd = ["a\nb", "a.\nLe", "'s", "x's", "<|endoftext|>", "a<|endoftext|>b", "\u0120", "\u0120a", "e\u0301", "", "12a", "\u2028x"]
+    texts = [" ".join(words), " ".join(odd), " a", "a ", "a\n", "\na b", "a  b", "", None, *[f"a {x} b" for x in odd]]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == want
+    assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == want  # now from memory
+    assert len(asked) < len(set(words)) / 20

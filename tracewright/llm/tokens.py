@@ -12,6 +12,7 @@ CACHE_ENTRIES = 600_000  # chunks remembered by a Python worker in each of two t
 _ASKED = 4096  # chunks in one call of the library, whose answers are about 1 kB each
 _TOGETHER = 200  # words in one text of such a call
 _STOPS = ".,;:!?"
+_SPACE = "\u0120"  # how byte-level tokenizers write a space
 _NOT_SINGLE_SPACES = re.compile(r"\s\s")
 
 
@@ -36,9 +37,12 @@ class Encoder:
         self._later: dict[str, bytes] = {}
         self._stops: dict[str, bytes] = {}
         self._folds = self._ask(["A\nB "]) == self._ask(["a b"])
-        # a tokenizer that marks the last id of a word, whatever stands around the word
+        # a tokenizer that marks the last id of a word, whatever stands around the word, or the first id behind a space
         suffix = getattr(self._library.model, "end_of_word_suffix", None)
-        self._ends = None
+        self._ends = self._starts = None
+        if not self._folds and self._ask([" a, b"]) == [b"".join(self._ask([" a,", " b"]))]:
+            self._starts = np.zeros(self._library.get_vocab_size(), bool)
+            self._starts[[i for token, i in self._library.get_vocab().items() if token.startswith(_SPACE)]] = True
         if suffix and self._folds and self._ask([" a b"]) == [b"".join(self._ask(["a", "b"]))]:
             self._ends = np.zeros(self._library.get_vocab_size(), bool)
             self._ends[[i for token, i in self._library.get_vocab().items() if token.endswith(suffix)]] = True
@@ -64,6 +68,19 @@ class Encoder:
                 at = end
         return answers
 
+    def _ask_spaced(self, chunks: list[str]) -> list[bytes]:
+        """As `_ask`, for chunks with a space before each: many go to the library as one text and are told apart by their first ids."""
+        groups = [chunks[at:at + _TOGETHER] for at in range(0, len(chunks), _TOGETHER)]
+        answers = []
+        for group, ids in zip(groups, self._ask([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self._starts[np.frombuffer(ids, self.dtype)]) * self.dtype.itemsize
+            if len(starts) != len(group) or starts[0]:
+                answers += self._ask([" " + c for c in group])
+                continue
+            cuts = [*starts.tolist(), len(ids)]
+            answers += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return answers
+
     def _learn(self, known: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         new = chunks.difference(known)
         if not new:
@@ -82,6 +99,12 @@ class Encoder:
             words = [c for c in ask if c.isalpha()]
             known.update(zip(words, self._ask_words(words), strict=True))
             ask = [c for c in ask if not c.isalpha()]
+        if self._starts is not None and prefix == " ":
+            # white space at an end would meet that of the next chunk, and special tokens may take some with them
+            alone = {c for c in ask if not c or "<" in c or c[0].isspace() or c[-1].isspace()}
+            words = [c for c in ask if c not in alone]
+            known.update(zip(words, self._ask_spaced(words), strict=True))
+            ask = list(alone)
         known.update(zip(ask, self._ask([prefix + c for c in ask]), strict=True))
         tails = {c[len(core):] for c, core in cores.items()}.difference(self._stops)
         self._stops.update(zip(tails, self._ask(list(tails)), strict=True))
@@ -110,12 +133,15 @@ class Encoder:
                 split.append(None)
             else:
                 split.append(text.split(" "))
-        chunks = [s for s in split if s]
-        self._learn(self._first, {s[0] for s in chunks}, "")
-        self._learn(self._later, set().union(*(s[1:] for s in chunks)), " ")
-        later = self._later.__getitem__
-        return [whole[i] if s is None else self._first[s[0]] + b"".join(map(later, s[1:]))
-                for i, s in enumerate(split)]
+        self._learn(self._first, {s[0] for s in split if s}, "")
+        # only texts with new chunks are looked at again
+        found = [s and list(map(self._later.get, s[1:])) for s in split]
+        open_texts = [(s, ids) for s, ids in zip(split, found, strict=True) if s and None in ids]
+        self._learn(self._later, {c for s, ids in open_texts for c, known in zip(s[1:], ids, strict=True) if known is None}, " ")
+        for s, ids in open_texts:
+            ids[:] = [self._later[c] if known is None else known for c, known in zip(s[1:], ids, strict=True)]
+        return [whole[i] if s is None else self._first[s[0]] + b"".join(ids)
+                for i, (s, ids) in enumerate(zip(split, found, strict=True))]
 
 
 @lru_cache(maxsize=4)
