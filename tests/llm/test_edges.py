@@ -366,3 +366,14 @@ def test_shards_of_pieces_that_never_fit_together_stay_small(spark, monkeypatch)
     got = packing.pack(pieces, 4096).collect()
     assert len({r["sequence_id"] for r in got}) == 640 == len(got)
     assert len(seen) == 2 and max(seen) < 2 * 64
+
+
+def test_pairs_come_once_not_for_each_token_they_share(spark):
+    # 30 sets of 100 tokens, of which 90 or more are the same ones
+    sets = spark.createDataFrame(
+        [(i, t) for i in range(30) for t in [*range(90), *range(1000 + 10 * (i // 2), 1010 + 10 * (i // 2))]], "rid long, token long")
+    alone = spark.createDataFrame([], "node long, root long")
+    made = linking._pairs_of_tokens(sets, alone, 80)
+    pairs = {(r["a"], r["b"]) for r in made.collect()}
+    assert pairs >= {(i, j) for i in range(30) for j in range(i + 1, 30)}
+    assert made.count() < 2 * len(pairs)

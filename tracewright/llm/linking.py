@@ -13,6 +13,7 @@ from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import materialize, store
 
 SKETCH = 8  # longs of 64 bits that stand for a set
+_BEFORE = 8  # tokens before one that a row of the join on tokens has
 
 
 def _same(before: tuple, after: DataFrame) -> tuple[bool, tuple]:
@@ -111,7 +112,13 @@ def rare_token_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
     but are not similar enough the first tokens are each item's own, which leaves few pairs. Each item
     also has the parity of its tokens in SKETCH longs: two sets differ in at least as many tokens as
     their parities do in bits, so the join itself drops pairs that differ too much, however frequent the token.
+    Similar sets share many tokens in a row, so each row also has the _BEFORE tokens before its own: a pair
+    that shares one of these comes with that token, or with one before it, and not again with this one.
     """
+    return _pairs_of_tokens(sets, groups, percent).distinct()
+
+
+def _pairs_of_tokens(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     sets = store(sets, "sets")
     times = sets.groupBy("token").agg(F.count("*").alias("_times"))
     bit = F.xxhash64("token")
@@ -122,15 +129,19 @@ def rare_token_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
         F.sort_array(F.collect_list(F.when(F.col("_times") > 1, F.struct("_times", "token")))).alias("_shared"), *parities)
     length = F.col("_n") - F.floor((F.col("_n") * percent + 99) / 100) + 1 - F.col("_own")
     bits = [f"_p{i}" for i in range(SKETCH)]
-    prefix = first.where(length > 0).select(
-        "rid", "_n", *bits, F.explode(F.slice("_shared", F.lit(1), length.cast("int"))["token"]).alias("token"))
+    rarest = F.slice("_shared", F.lit(1), length.cast("int"))["token"]
+    prefix = first.where(length > 0).select("rid", "_n", *bits, rarest.alias("_rarest")).select(
+        "rid", "_n", *bits, F.explode(F.transform("_rarest", lambda t, i: F.struct(t.alias("token"), F.slice(
+            "_rarest", F.greatest(i - _BEFORE, F.lit(0)) + 1, F.least(i, F.lit(_BEFORE))).alias("before")))).alias("_at")).select(
+        "rid", "_n", *bits, "_at.token", F.col("_at.before").alias("_before"))
     prefix = store(prefix.join(_small(groups).toDF("rid", "root"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")), "prefixes")
-    other = prefix.select("token", *[F.col(c).alias(f"_o{c}") for c in ("rid", "root", "_n", *bits)])
+    other = prefix.select("token", *[F.col(c).alias(f"_o{c}") for c in ("rid", "root", "_n", "_before", *bits)])
     differ = " + ".join(f"bit_count({c} ^ _o{c})" for c in bits)
     return prefix.join(other, "token").where(
-        f"root < _oroot and 100 * least(_n, _o_n) >= {percent} * greatest(_n, _o_n) and {100 + percent} * ({differ}) <= {100 - percent} * (_n + _o_n)").select(
-        F.least("rid", "_orid").alias("a"), F.greatest("rid", "_orid").alias("b")).distinct()
+        f"root < _oroot and 100 * least(_n, _o_n) >= {percent} * greatest(_n, _o_n) and {100 + percent} * ({differ}) <= {100 - percent} * (_n + _o_n) "
+        "and not arrays_overlap(_before, _o_before)").select(
+        F.least("rid", "_orid").alias("a"), F.greatest("rid", "_orid").alias("b"))
 
 
 def group_similar(
