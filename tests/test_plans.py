@@ -2,7 +2,9 @@
 
 import contextlib
 import io
+import pathlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewright import catalog
 from tracewright.catalog import logs
 from tracewright.operators import activity, arcs, branches, cases, cleaning, model, sequence, variants
-from tracewright.plans.storage import materialize
+from tracewright.plans.storage import SHUFFLES_GO, materialize, store
 from tracewright.sources import load_log
 
 
@@ -104,3 +106,19 @@ def test_arcs_of_cases_are_not_shuffled_by_arc(stored):
 def test_durations_come_from_one_table_of_counts(stored, fixed_plans):
     text = plan(activity.activity_durations(stored))
     assert len(re.findall(r"^\(\d+\) Scan parquet", text, flags=re.M)) == 1 and "ReusedExchange" in text
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for folder in folders for f in pathlib.Path(folder).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(SHUFFLES_GO, None)
+    table = store(spark.range(20_000).repartition(3, "id"), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 20_000
+    assert spark.conf.get(SHUFFLES_GO, None) == setting

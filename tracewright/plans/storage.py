@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: as the cluster names it, else as the application set it.
@@ -30,9 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Compute once into a parquet table in shared storage: for tables of which later steps read some columns."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Compute once into a parquet table in shared storage: for tables of which later steps read some columns.
+
+    What the job shuffled goes as soon as the table is written; nothing reads it again.
+    """
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, None)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
     return df.sparkSession.read.parquet(path)
 
 
