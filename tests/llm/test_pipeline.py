@@ -112,3 +112,11 @@ def test_windows_of_benchmark_items_are_gone(spark, sf_dir, stages):
         for i in range(len(words) - size + 1 if words else 0):
             window = " " + " ".join(words[i:i + size]) + " "
             assert not any(window in t for t in texts), window
+
+
+def test_a_task_has_one_python_worker(spark, sf_dir):
+    """Two of them a core would all keep what later stages load."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        text = stage(spark, docs, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("MapInArrow") <= 1, name

@@ -57,6 +57,17 @@ def test_what_workers_remember_goes():
     assert not minhash._known
 
 
+def test_what_this_stage_remembers_stays():
+    from tracewright.llm import batches, minhash, tokens
+
+    minhash.shingle_set("a b c")
+    first = tokens.encoder(tokenizer_path("word_bpe_49k.json"))
+    batches.give_back(tokens.ENCODERS)
+    assert not minhash._known and tokens.encoder(tokenizer_path("word_bpe_49k.json")) is first
+    batches.give_back()
+    assert not tokens.ENCODERS
+
+
 def test_chunks_behind_spaces_are_asked_together():
     path = tokenizer_path("byte_bpe_50k.json")
     encode, library = Encoder(path), Tokenizer.from_file(path)

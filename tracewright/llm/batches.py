@@ -15,10 +15,14 @@ MAX_BYTES = 4 << 20
 REMEMBERED: list[dict] = []
 
 
-def give_back() -> None:
-    """Return memory that the Python worker holds free or in REMEMBERED, as it may have worked for other stages before."""
+def give_back(keep: dict | None = None) -> None:
+    """Return memory that the Python worker holds free or in REMEMBERED, as it may have worked for other stages before.
+
+    What this stage remembers itself stays if it is given.
+    """
     for known in REMEMBERED:
-        known.clear()
+        if known is not keep:
+            known.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

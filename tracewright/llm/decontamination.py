@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import text_batches
+from tracewright.llm.batches import give_back, text_batches
 from tracewright.llm.fm_index import FMIndex
 from tracewright.plans.storage import store
 
@@ -180,6 +180,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             windows_of(list(zip(found["item_id"], found["text"], strict=True)), window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
+            give_back()
             windows = shared.value
             for batch, texts in text_batches(batches):
                 results = _shard(texts, windows)

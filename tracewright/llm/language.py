@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from tracewright.llm.batches import text_batches
+from tracewright.llm.batches import give_back, text_batches
 from tracewright.plans.storage import store
 
 UNKNOWN = "und"
@@ -110,12 +110,14 @@ def sample_labelled(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE)
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rates = docs.sparkSession.createDataFrame(
-        [(r["lang"], min(1.0, docs_per_language / r["count"])) for r in counts], "lang string, _rate double")
+    rates = docs.sparkSession.createDataFrame(pa.table({
+        "lang": pa.array([r["lang"] for r in counts], pa.string()),
+        "_rate": pa.array([min(1.0, docs_per_language / r["count"]) for r in counts], pa.float64())}))
     return labelled.join(F.broadcast(rates), "lang").where(F.col("_draw") < F.col("_rate")).select("text", "lang")
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
     counts: dict[tuple[str, int], Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,9 @@ def train(sample: DataFrame, entries: int = ENTRIES) -> Model:
     languages = sorted({lang for lang, _ in tiers})
     if not languages:
         return Model([], [], [])
-    floor = sample.sparkSession.createDataFrame([(a, n, c) for (a, n), c in least.items()], "lang string, n int, _least long")
+    floor = sample.sparkSession.createDataFrame(pa.table({
+        "lang": pa.array([a for a, _ in least], pa.string()), "n": pa.array([n for _, n in least], pa.int32()),
+        "_least": pa.array(least.values(), pa.int64())}))
     kept = counts.join(F.broadcast(floor), ["lang", "n"]).where(F.col("count") >= F.col("_least")).drop("_least")
     place = {lang: i for i, lang in enumerate(languages)}
     index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
@@ -194,6 +198,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = shared.value
         for batch, texts in text_batches(batches):
             found = [model.predict(t) for t in texts]

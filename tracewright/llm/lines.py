@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import text_batches
+from tracewright.llm.batches import give_back, text_batches
 from tracewright.llm.linking import group_similar
 from tracewright.llm.minhash import mix
 from tracewright.plans.skew import BROADCAST_ROWS
@@ -96,6 +96,7 @@ def _eligible(text: str | None) -> Iterator[tuple[int, str]]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per eligible line; its keys if the piece of the batch did not have the same line before."""
+    give_back()
     for batch, texts in text_batches(batches):
         owner, numbers, digests, first, fresh = [], [], [], {}, []
         for i, text in enumerate(texts):
@@ -121,6 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines_of(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         chosen = wanted.value if wanted is not None else None
         for _, texts in text_batches(batches):
             found: dict[int, str] = {}

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.batches import REMEMBERED, text_batches
+from tracewright.llm.batches import REMEMBERED, give_back, text_batches
 from tracewright.llm.linking import SKETCH, group_similar
 from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import store
@@ -93,6 +93,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = THRESHOLD) -> bool:
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(_known)
         for batch, texts in text_batches(batches):
             counts, digests, tuples, sketches = [], [], [], []
             for text in texts:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.batches import give_back, text_batches
-from tracewright.llm.tokens import encoder
+from tracewright.llm.tokens import ENCODERS, encoder
 from tracewright.plans.storage import store
 
 CAPACITY = 4096
@@ -44,9 +44,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(ENCODERS)
         encode = encoder(tokenizer)
-        give_back()  # what reading the tokenizer's file took
+        give_back(ENCODERS)  # what reading the tokenizer's file took
         end = np.array([end_id], encode.dtype).tobytes()
         first, made = TaskContext.get().partitionId() << 24, 0
         for batch, texts in text_batches(batches, max_bytes=1 << 20):

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
+from tracewright.llm.batches import REMEMBERED
+
 CACHE_ENTRIES = 600_000  # chunks remembered by a Python worker in each of two tables, about 200 bytes each
 _ASKED = 4096  # chunks in one call of the library, whose answers are about 1 kB each
 _TOGETHER = 200  # words in one text of such a call
 _STOPS = ".,;:!?"
 _SPACE = "\u0120"  # how byte-level tokenizers write a space
 _NOT_SINGLE_SPACES = re.compile(r"\s\s")
+ENCODERS: dict[str, Encoder] = {}
+REMEMBERED.append(ENCODERS)
 
 
 class Encoder:
@@ -144,7 +147,8 @@ class Encoder:
                 for i, (s, ids) in enumerate(zip(split, found, strict=True))]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """The encoder of a file, one per Python worker."""
-    return Encoder(path)
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
