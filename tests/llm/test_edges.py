@@ -377,3 +377,69 @@ def test_pairs_come_once_not_for_each_token_they_share(spark):
     pairs = {(r["a"], r["b"]) for r in made.collect()}
     assert pairs >= {(i, j) for i in range(30) for j in range(i + 1, 30)}
     assert made.count() < 2 * len(pairs)
+
+
+def test_pairs_of_small_buckets_need_no_tokens(spark):
+    """Unlike leaders part a bucket of several groups; its other pairs come from the sketches, each once."""
+    shingles = [{1000 * (i % 8) + t for t in range(100)} for i in range(40)]
+    sketches = spark.createDataFrame(
+        [(i, len(s), minhash.parity(np.array(sorted(s), np.uint64)).tolist()) for i, s in enumerate(shingles)],
+        "rid long, n long, sketch array<long>")
+    members = linking.share_keys(spark.createDataFrame([(1, i) for i in range(40)] + [(1, 5)], "key long, rid long"))
+    tested = []
+
+    def verify(pairs):
+        tested.extend(tuple(r) for r in pairs.collect())
+        return pairs.where("a % 8 = b % 8")
+
+    def sets(items):
+        raise AssertionError("the bucket is small")
+
+    got = dict(rows(linking.group_members(members, verify, sets, 80, sketches), "node", "root"))
+    assert got == {i: i % 8 for i in range(40)}
+    assert len(tested) == len(set(tested)) < 150
+
+
+def test_lines_of_large_buckets_and_texts_read_once(make_docs, monkeypatch):
+    """All texts that are compared come from one pass, whatever the size of the buckets."""
+    families = [prose(30, i) for i in range(3)]
+    draw = random.Random(9)
+    docs = make_docs(*[(i, f"{families[i % 3]} {draw.randrange(1000)} {prose(i % 5, i)}") for i in range(45)])
+    passes, read = [], lines._lines_of
+    monkeypatch.setattr(lines, "_lines_of", lambda wanted: passes.append(1) or read(wanted))
+    texts = {r["doc_id"]: lines.plain(r["text"]) for r in docs.collect()}
+
+    def alike(a, b):
+        both = len(lines.shingles(a) & lines.shingles(b))
+        return 100 * both >= 80 * len(lines.shingles(a) | lines.shingles(b))
+
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and alike(texts[a], texts[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    for paired in (2, 128):
+        monkeypatch.setattr(linking, "PAIRED", paired)
+        passes.clear()
+        assert {r["doc_id"] for r in lines.repeated_lines(docs).collect()} == {i for i, r in root.items() if r != i}
+        assert len(passes) == 1
+
+
+def test_a_set_of_bits_keeps_every_item(spark):
+    items = [-(1 << 63), -1, 0, 63, 64, (1 << 63) - 1, *(random.Random(3).randrange(-1 << 63, 1 << 63) for _ in range(500))]
+    bits = lines.bits_of(spark.createDataFrame([(i,) for i in items], "rid long"))
+    assert lines._among(bits, np.array(items)).all()
+    others = np.random.default_rng(1).integers(-1 << 63, (1 << 63) - 1, 10_000)
+    assert lines._among(bits, others).mean() < 0.05
+    assert not lines._among(lines.bits_of(spark.createDataFrame([], "rid long")), others).any()
+
+
+def test_sketches_of_lines_are_those_of_their_sets(monkeypatch):
+    texts = [LONG[:5000], "x" * 40, LONG[200:240], "ab" * 200, LONG[:700]]
+    monkeypatch.setattr(lines, "BLOCK_CHARS", 1000)
+    sizes, parities = lines.sketches(texts)
+    for text, n, sketch in zip(texts, sizes, parities, strict=True):
+        hashed = np.unique(np.concatenate([sums for _, sums in lines._hashed([text])]))
+        assert n == len(lines.shingles(text)) and (sketch == minhash.parity(hashed)).all()
+    assert lines.sketches([])[0].tolist() == []

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.batches import give_back, text_batches
-from tracewright.llm.linking import group_similar
-from tracewright.llm.minhash import mix
+from tracewright.llm.linking import SKETCH, group_members, may_be_similar, share_keys
+from tracewright.llm.minhash import mix, parity
 from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import store
 
@@ -29,6 +29,7 @@ BINS = BANDS * ROWS
 BLOCK_CHARS = 1 << 18  # hashed at a time
 MIN_CHARS = 32  # shorter lines are never removed
 PERCENT = 80
+MOST_BITS = 1 << 27  # of a set of bits that stands for items
 _STEPS = np.random.default_rng(7).integers(0, 1 << 63, SHINGLE_CHARS, np.uint64) * np.uint64(2) + np.uint64(1)
 _NONE = np.uint64(np.iinfo(np.uint64).max)
 
@@ -53,33 +54,66 @@ def _blocks(lines: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield owners, parts
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The least hash of each bin for lines of at least SHINGLE_CHARS characters; one row per line."""
-    lowest = np.full(len(lines) * BINS, _NONE, np.uint64)
+def _hashed(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of all shingles, block by block: numbers of the lines, which rise, and hashes."""
     for owners, parts in _blocks(lines):
         sizes = np.array([len(x) for x in parts])
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         sums = np.zeros(len(codes) - SHINGLE_CHARS + 1, np.uint64)
         for i, step in enumerate(_STEPS):
             sums += codes[i:len(codes) - SHINGLE_CHARS + 1 + i] * step
-        sums = mix(sums)
         part = np.repeat(np.arange(len(parts)), sizes)[: len(sums)]
         # a shingle does not reach into the next part
         inside = np.arange(len(sums)) + SHINGLE_CHARS <= np.cumsum(sizes)[part]
+        yield np.array(owners)[part[inside]], mix(sums[inside])
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The least hash of each bin for lines of at least SHINGLE_CHARS characters; one row per line."""
+    lowest = np.full(len(lines) * BINS, _NONE, np.uint64)
+    for owner, sums in _hashed(lines):
         # the upper half of a hash picks its bin
         bin_of = ((sums >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-        bins = (np.array(owners)[part] * BINS + bin_of)[inside]
-        np.minimum.at(lowest, bins, sums[inside])
+        np.minimum.at(lowest, owner * BINS + bin_of, sums)
     lowest = lowest.reshape(-1, BINS)
+    left = np.flatnonzero((lowest == _NONE).any(axis=1))
     for shift in range(1, BINS):
-        empty = lowest == _NONE
-        if not empty.any():
+        if not len(left):
             break
-        borrowed = np.roll(lowest, -1, axis=1)
-        lowest = np.where(empty & (borrowed != _NONE), mix(borrowed + np.uint64(shift)), lowest)
+        rows = lowest[left]
+        borrowed = np.roll(rows, -1, axis=1)
+        fill = (rows == _NONE) & (borrowed != _NONE)
+        rows[fill] = mix(borrowed[fill] + np.uint64(shift))
+        lowest[left] = rows
+        left = left[(rows == _NONE).any(axis=1)]
     return lowest
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per line the size of its shingle set and the set's parity."""
+    sizes, parities = np.zeros(len(lines), np.int64), np.zeros((len(lines), SKETCH), np.int64)
+    short = []
+    for number, line in enumerate(lines):
+        if len(line) < BLOCK_CHARS:
+            short.append(number)
+        else:  # the line is in several blocks
+            found = np.unique(np.concatenate([sums for _, sums in _hashed([line])]))
+            sizes[number], parities[number] = len(found), parity(found)
+    for owner, sums in _hashed([lines[i] for i in short]):
+        first, owner = owner[0], owner - owner[0]
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(sums)], strict=True):
+            sums[at:to].sort()
+        fresh = np.r_[True, sums[1:] != sums[:-1]]
+        fresh[starts] = True
+        owner, sums = owner[fresh], sums[fresh]
+        numbers = np.array(short)[first:first + owner[-1] + 1]
+        sizes[numbers] = np.bincount(owner)
+        bits = np.bincount(owner * (64 * SKETCH) + (sums % np.uint64(64 * SKETCH)).astype(np.int64), minlength=len(numbers) * 64 * SKETCH)
+        parities[numbers] = np.packbits((bits & 1).astype(np.uint8)).view(np.int64).reshape(-1, SKETCH)
+    return sizes, parities
+
+
 def band_keys(lowest: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(lowest), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in range(ROWS):
@@ -120,20 +154,46 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "text_hash", "line", "high", "low", "keys"])
 
 
+def bits_of(items: DataFrame) -> np.ndarray:
+    """A bit for each item (rid) in words of 64, at most MOST_BITS: an item whose bit is not set is none of them.
+
+    Spark puts the words together; the driver gets their bounded number alone.
+    """
+    size, count = 1 << 16, items.count()
+    while size < MOST_BITS and size < 16 * count:
+        size *= 2
+    bit = F.col("rid").bitwiseAND(F.lit(size - 1))
+    words = items.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(rid & 63 as int))").alias("bit")).groupBy(
+        "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _among(bits: np.ndarray, rids: np.ndarray) -> np.ndarray:
+    at = rids & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def _lines_of(wanted):
+    """The lines whose bit is set, once for each piece of a batch, with the size and the parity of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        chosen = wanted.value if wanted is not None else None
         for _, texts in text_batches(batches):
             found: dict[int, str] = {}
             for text in texts:
-                for _, line in _eligible(text):
-                    high = int.from_bytes(
-                        xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))[:8], "little", signed=True)
-                    if chosen is None or high in chosen:
-                        found[high] = line
-            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
-                                  ["rid", "text"])
+                compared = [line for _, line in _eligible(text)]
+                if not compared:
+                    continue
+                digests = b"".join(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in compared)
+                high = np.frombuffer(digests, np.int64)[::2]
+                for i in np.flatnonzero(_among(wanted.value, high)).tolist():
+                    found[int(high[i])] = compared[i]
+            sizes, parities = sketches(list(found.values()))
+            yield pa.record_batch(
+                [pa.array(list(found), pa.int64()), pa.array(sizes, pa.int64()), pa.array(list(parities), pa.list_(pa.int64())),
+                 pa.array(list(found.values()), pa.string())], ["rid", "n", "sketch", "text"])
 
     return run
 
@@ -182,25 +242,28 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         _sign, "doc_id long, text_hash long, line int, high long, low long, keys array<long>"), "lines")
     keys = lines.select(F.col("high").alias("rid"), F.explode("keys").alias("key")).select("key", "rid")
 
+    def texts_of(items: DataFrame) -> DataFrame:
+        wanted = docs.sparkSession.sparkContext.broadcast(bits_of(items))
+        found = rows.select("text").mapInArrow(_lines_of(wanted), "rid long, n long, sketch array<long>, text string")
+        one = found.join(items, "rid", "left_semi").groupBy("rid").agg(F.first(F.struct("n", "sketch", "text")).alias("one"))
+        return store(one.select("rid", "one.*"), "texts")
+
+    # all that is compared later shares a key, so the texts are read once
+    members = share_keys(keys)
+    texts = texts_of(store(members.select("rid").distinct(), "wanted"))
+    known = texts.select("rid", "n", "sketch")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("rid"))
-        full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+        sized = store(pairs.join(known.toDF("a", "n", "sketch"), "a").join(known.toDF("b", "_on", "_osketch"), "b").where(
+            may_be_similar(PERCENT)).select("a", "b"), "sized")
+        full = sized.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").join(
+            texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    def texts_of(items: DataFrame) -> DataFrame:
-        wanted = store(items, "wanted")
-        known = None
-        if wanted.count() <= BROADCAST_ROWS:
-            known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.toLocalIterator()))
-        found = rows.select("text").mapInArrow(_lines_of(known), "rid long, text string")
-        if known is None:
-            found = found.join(wanted, "rid", "left_semi")
-        return store(found.groupBy("rid").agg(F.first("text").alias("text")), "texts")
-
     def sets(items: DataFrame) -> DataFrame:
-        return texts_of(items).mapInArrow(_tokens, "rid long, token long")
+        return texts.select("rid", "text").join(items, "rid", "left_semi").mapInArrow(_tokens, "rid long, token long")
 
-    roots = group_similar(keys, verify, sets, PERCENT)
+    roots = group_members(members, verify, sets, PERCENT, known)
     place = F.struct("doc_id", "text_hash", "line")
     classes = store(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-classes")
     # two lines with the same first half of the hash, which stands for a line above, are left alone

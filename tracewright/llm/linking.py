@@ -13,6 +13,7 @@ from tracewright.plans.skew import BROADCAST_ROWS
 from tracewright.plans.storage import materialize, store
 
 SKETCH = 8  # longs of 64 bits that stand for a set
+PAIRED = 128  # members of a bucket whose pairs are all looked at, if sketches of sets are known
 _BEFORE = 8  # tokens before one that a row of the join on tokens has
 
 
@@ -144,24 +145,43 @@ def _pairs_of_tokens(sets: DataFrame, groups: DataFrame, percent: int) -> DataFr
         F.least("rid", "_orid").alias("a"), F.greatest("rid", "_orid").alias("b"))
 
 
+def may_be_similar(percent: int) -> str:
+    """If two sets, of size n and _on and of parities sketch and _osketch, can have a similarity of `percent`."""
+    differ = " + ".join(f"bit_count(sketch[{i}] ^ _osketch[{i}])" for i in range(SKETCH))
+    return f"100 * least(n, _on) >= {percent} * greatest(n, _on) and {100 + percent} * ({differ}) <= {100 - percent} * (n + _on)"
+
+
 def group_similar(
     keys: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int
 ) -> DataFrame:
     """Items that share a key and pass verification, directly or over others: (node, root).
 
-    `keys` has (key, rid); `verify` takes pairs (a, b) with a < b and returns those that are linked;
+    `keys` has (key, rid); all else is as in `group_members`.
+    """
+    return group_members(share_keys(keys), verify, sets, percent)
+
+
+def group_members(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int,
+    sketches: DataFrame | None = None,
+) -> DataFrame:
+    """Members of buckets that pass verification, directly or over others: (node, root).
+
+    `members` is what `share_keys` returns; `verify` takes pairs (a, b) with a < b and returns those that are linked;
     `sets` takes items (rid) and returns the tokens (rid, token) of their sets, which are linked from a
-    similarity of `percent` on. A link between items that share a key is never left out:
+    similarity of `percent` on. `sketches` may have (rid, n, sketch), sizes and parities of the sets of all members.
+    A link between items that share a key is never left out:
 
     1. In every bucket the smallest item leads; each item is verified against the leader it shares
        most keys with, then against its other leaders if they are still in another group.
-    2. The members of buckets that still hold several groups are joined on their rarest tokens, and
+    2. Of buckets that still hold several groups, all pairs whose sketches allow a link are verified if the bucket
+       has at most PAIRED members and sketches are given.
+    3. The members of all other such buckets are joined on their rarest tokens, and
        all pairs of different groups that this leaves are verified.
 
     So candidates grow with the members of a bucket, not with its pairs. Items without a link are not
     returned.
     """
-    members = share_keys(keys)
     stars = store(members.where("rid != leader").groupBy(F.col("leader").alias("a"), F.col("rid").alias("b")).agg(
         F.count("*").alias("shared")), "stars")
     # the leader with most shared keys, of these the smallest
@@ -198,9 +218,18 @@ def group_similar(
     if apart.isEmpty():
         return roots
     # a pair of two items needs no other search: it was verified as leader and member
-    sizes = members.groupBy("key").agg(F.count_distinct("rid").alias("_n")).where("_n > 2").select("key")
-    open_keys = members.join(_small(apart), ["leader", "rid"], "left_semi").select("key").distinct().join(sizes, "key", "left_semi")
-    open_items = members.join(_small(store(open_keys, "open")), "key", "left_semi")
+    sizes = members.groupBy("key").agg(F.count_distinct("rid").alias("_n")).where("_n > 2")
+    open_keys = store(members.join(_small(apart), ["leader", "rid"], "left_semi").select("key").distinct().join(sizes, "key"), "open")
+    if sketches is not None:
+        few = open_keys.where(F.col("_n") <= PAIRED).select("key")
+        own = members.select("key", "rid").join(_small(few), "key", "left_semi").join(sketches, "rid")
+        other = own.select("key", F.col("rid").alias("_orid"), F.col("n").alias("_on"), F.col("sketch").alias("_osketch"))
+        grow(own.join(other, "key").where(f"rid < _orid and {may_be_similar(percent)}").select(
+            F.col("rid").alias("a"), F.col("_orid").alias("b")).distinct())
+        open_keys = open_keys.where(F.col("_n") > PAIRED)
+        if open_keys.isEmpty():
+            return roots
+    open_items = members.join(_small(open_keys.select("key")), "key", "left_semi")
     items = store(open_items.select("rid").union(open_items.select("leader")).distinct(), "open-items")
     grow(rare_token_pairs(sets(items), roots, percent))
     return roots
