@@ -87,3 +87,25 @@ def test_chunks_behind_spaces_are_asked_together():
     assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == want
     assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == want  # now from memory
     assert len(asked) < len(set(words)) / 20
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_chunks_get_a_number_as_they_are_looked_up(file, monkeypatch):
+    """One lookup gives every chunk its place in the answers; only new ones are seen by Python code, also after the tables were emptied."""
+    path = tokenizer_path(file)
+    encode, library = Encoder(path), Tokenizer.from_file(path)
+    asked = []
+    ask = encode._ask
+    monkeypatch.setattr(encode, "_ask", lambda texts: asked.extend(texts) or ask(texts))
+    texts = ["one two, two three. three", "three two. one", None, "", "<|endoftext|> one two"]
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == expected
+        assert len(encode._later) == len(encode._later.answers) and encode._later.unanswered() == []
+    n = len(asked)
+    encode(texts)
+    assert len(asked) == n  # nothing is asked twice
+    monkeypatch.setattr("tracewright.llm.tokens.CACHE_ENTRIES", 2)
+    for text, ids in zip(texts, expected, strict=True):
+        assert np.frombuffer(encode([text])[0], encode.dtype).tolist() == ids
+        assert len(encode._later) <= 2 + 4 + 2

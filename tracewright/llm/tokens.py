@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 
@@ -19,6 +20,26 @@ ENCODERS: dict[str, Encoder] = {}
 REMEMBERED.append(ENCODERS)
 
 
+class _Chunks(dict):
+    """Numbers of chunks and, in `answers`, their ids; looking up a new chunk gives it the next number."""
+
+    def __init__(self):
+        super().__init__()
+        self.answers: list[bytes] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        return number
+
+    def unanswered(self) -> list[str]:
+        return list(islice(reversed(self), len(self) - len(self.answers)))[::-1]
+
+    def bound(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+            self.answers.clear()
+
+
 class Encoder:
     """Encodes texts as the library does with add_special_tokens=False.
 
@@ -36,8 +57,8 @@ class Encoder:
 
         self._library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
+        self._first = _Chunks()
+        self._later = _Chunks()
         self._stops: dict[str, bytes] = {}
         self._folds = self._ask(["A\nB "]) == self._ask(["a b"])
         # a tokenizer that marks the last id of a word, whatever stands around the word, or the first id behind a space
@@ -84,34 +105,39 @@ class Encoder:
             answers += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return answers
 
-    def _learn(self, known: dict[str, bytes], chunks: set[str], prefix: str) -> None:
-        new = chunks.difference(known)
-        if not new:
-            return
-        if len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = chunks
+    def _learn(self, known: _Chunks, prefix: str) -> None:
+        """Answer all chunks that were looked up and have none."""
         # a letter and the full stops or commas behind it are in different pieces
         cores = {}
-        for chunk in new:
+        for chunk in known.unanswered():
             core = chunk.rstrip(_STOPS)
             if core and core != chunk and core[-1].isalpha():
                 cores[chunk] = core
-        ask = list(new.difference(cores).union(cores.values()).difference(known))
+                known[core]  # a chunk as well
+        new = known.unanswered()
+        if not new:
+            return
+        ask = [c for c in new if c not in cores]
+        found: dict[str, bytes] = {}
         if self._ends is not None:
             words = [c for c in ask if c.isalpha()]
-            known.update(zip(words, self._ask_words(words), strict=True))
+            found.update(zip(words, self._ask_words(words), strict=True))
             ask = [c for c in ask if not c.isalpha()]
         if self._starts is not None and prefix == " ":
             # white space at an end would meet that of the next chunk, and special tokens may take some with them
-            alone = {c for c in ask if not c or "<" in c or c[0].isspace() or c[-1].isspace()}
-            words = [c for c in ask if c not in alone]
-            known.update(zip(words, self._ask_spaced(words), strict=True))
-            ask = list(alone)
-        known.update(zip(ask, self._ask([prefix + c for c in ask]), strict=True))
+            alone = [c for c in ask if not c or "<" in c or c[0].isspace() or c[-1].isspace()]
+            apart = set(alone)
+            words = [c for c in ask if c not in apart]
+            found.update(zip(words, self._ask_spaced(words), strict=True))
+            ask = alone
+        found.update(zip(ask, self._ask([prefix + c for c in ask]), strict=True))
         tails = {c[len(core):] for c, core in cores.items()}.difference(self._stops)
         self._stops.update(zip(tails, self._ask(list(tails)), strict=True))
-        known.update((c, known[core] + self._stops[c[len(core):]]) for c, core in cores.items())
+        before = len(known.answers)
+        for chunk, core in cores.items():
+            number = known[core]
+            found[chunk] = (known.answers[number] if number < before else found[core]) + self._stops[chunk[len(core):]]
+        known.answers += map(found.__getitem__, new)
 
     def _fold(self, text: str) -> str:
         """For a tokenizer that lowers letters and drops white space: the same text with fewer different chunks.
@@ -136,15 +162,16 @@ class Encoder:
                 split.append(None)
             else:
                 split.append(text.split(" "))
-        self._learn(self._first, {s[0] for s in split if s}, "")
-        # only texts with new chunks are looked at again
-        found = [s and list(map(self._later.get, s[1:])) for s in split]
-        open_texts = [(s, ids) for s, ids in zip(split, found, strict=True) if s and None in ids]
-        self._learn(self._later, {c for s, ids in open_texts for c, known in zip(s[1:], ids, strict=True) if known is None}, " ")
-        for s, ids in open_texts:
-            ids[:] = [self._later[c] if known is None else known for c, known in zip(s[1:], ids, strict=True)]
-        return [whole[i] if s is None else self._first[s[0]] + b"".join(ids)
-                for i, (s, ids) in enumerate(zip(split, found, strict=True))]
+        first, later = self._first, self._later
+        first.bound()
+        later.bound()
+        begins = [s and first[s.pop(0)] for s in split]
+        found = [s and list(map(later.__getitem__, s)) for s in split]
+        self._learn(first, "")
+        self._learn(later, " ")
+        answer = later.answers.__getitem__
+        return [whole[i] if s is None else first.answers[begins[i]] + b"".join(map(answer, numbers or ()))
+                for i, (s, numbers) in enumerate(zip(split, found, strict=True))]
 
 
 def encoder(path: str) -> Encoder:
